@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, license, mixing, neardup, quality, sampling
+from . import chat, langid, license, mixing, neardup, quality, sampling, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(langid.predict(docs, langid.fit(docs))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=50, with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), size=2, hundredths=80)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_license": op3_license,
     "op4_langid": op4_langid,
+    "op5_substrings": op5_substrings,
     "op7_minhash": op7_minhash,
     "op10_mixing": op10_mixing,
 }
