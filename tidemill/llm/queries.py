@@ -112,3 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
+
+#: SQL for those that it can express.
+ORACLE: dict[str, str] = {}
