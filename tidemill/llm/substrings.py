@@ -126,9 +126,11 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
 
 
 def _by_doc(doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    if not len(doc):
+        return {}
     order = np.lexsort([at, mark, doc])
     doc, mark, at = doc[order], mark[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
     return {(int(doc[i]), int(mark[i])): at[i:j] for i, j in zip(new, np.append(new[1:], len(doc)), strict=True)}
 
 
