@@ -10,11 +10,13 @@ from ..functions import days_between, money, month_of, per_unit, ratio
 from ..operators.relational import count_where, sum_where, with_scalar
 from .context import Context
 
-VALID = ~F.col("is_cancelled")
+
+def _valid() -> Column:
+    return ~F.col("is_cancelled")
 
 
 def _status_counts() -> list[Column]:
-    return [F.count(F.lit(1)).alias("orders"), *[count_where(F.col(f"is_{s}")).alias(f"{s}_orders") for s in ("completed", "returned", "cancelled")], count_where(VALID).alias("valid_orders")]
+    return [F.count(F.lit(1)).alias("orders"), *[count_where(F.col(f"is_{s}")).alias(f"{s}_orders") for s in ("completed", "returned", "cancelled")], count_where(_valid()).alias("valid_orders")]
 
 
 def _revenue_columns() -> list[Column]:
@@ -41,7 +43,7 @@ def customer_base(ctx: Context) -> DataFrame:
     """Each customer with all aggregates; every input is brought to customer grain before it is joined."""
     orders = ctx("silver.fct_orders").groupBy("customer_id").agg(
         *_status_counts(), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
-        sum_where(VALID, F.col("total_amount")).alias("gross"), sum_where(VALID, F.col("item_count")).alias("items"),
+        sum_where(_valid(), F.col("total_amount")).alias("gross"), sum_where(_valid(), F.col("item_count")).alias("items"),
     )
     refunds = ctx("silver.fct_refunds").groupBy("customer_id").agg(F.sum("refund_amount").alias("refunded"))
     tickets = ctx("silver.fct_support_tickets").groupBy("customer_id").agg(F.count(F.lit(1)).alias("tickets"), count_where(F.col("status") == "open").alias("open"))
@@ -101,13 +103,13 @@ def customer_360(ctx: Context) -> DataFrame:
 def revenue_by_channel(ctx: Context) -> DataFrame:
     """Month and channel of the order; refunds fall in the month of the refund."""
     o = ctx("silver.fct_orders")
-    by = o.groupBy(month_of("order_date").alias("month"), "channel").agg(*_status_counts(), sum_where(VALID, F.col("total_amount")).alias("gross"))
+    by = o.groupBy(month_of("order_date").alias("month"), "channel").agg(*_status_counts(), sum_where(_valid(), F.col("total_amount")).alias("gross"))
     refunds = ctx("silver.fct_refunds").join(o.select("order_id", "channel"), "order_id").groupBy(month_of("refund_date").alias("month"), "channel").agg(F.sum("refund_amount").alias("refunds"))
     return by.join(refunds, ["month", "channel"], "left").select("month", "channel", *_revenue_columns())
 
 
 def revenue_by_category(ctx: Context) -> DataFrame:
-    o = ctx("silver.fct_orders").filter(VALID).select("order_id", month_of("order_date").alias("month"))
+    o = ctx("silver.fct_orders").filter(_valid()).select("order_id", month_of("order_date").alias("month"))
     g = ctx("silver.fct_order_items").join(o, "order_id").groupBy("month", "category").agg(F.countDistinct("order_id").alias("orders"), F.sum("quantity").cast("long").alias("units"), F.sum("line_total").alias("gross"))
     total = F.sum("gross").over(Window.partitionBy("month"))
     return g.select("month", "category", "orders", "units", money("gross", 14).alias("gross_revenue"), F.round(F.try_divide(100 * F.col("gross").cast("double"), total.cast("double")), 6).alias("revenue_share_pct"))
@@ -115,7 +117,7 @@ def revenue_by_category(ctx: Context) -> DataFrame:
 
 def monthly_kpis(ctx: Context) -> DataFrame:
     o = ctx("silver.fct_orders")
-    by = o.groupBy(month_of("order_date").alias("month")).agg(*_status_counts(), F.countDistinct("customer_id").alias("unique_customers"), sum_where(VALID, F.col("total_amount")).alias("gross"))
+    by = o.groupBy(month_of("order_date").alias("month")).agg(*_status_counts(), F.countDistinct("customer_id").alias("unique_customers"), sum_where(_valid(), F.col("total_amount")).alias("gross"))
     new = o.groupBy("customer_id").agg(F.min("order_date").alias("d")).groupBy(month_of("d").alias("month")).agg(F.count(F.lit(1)).alias("new"))
     refunds = ctx("silver.fct_refunds").groupBy(month_of("refund_date").alias("month")).agg(F.sum("refund_amount").alias("refunds"))
     fresh = F.coalesce("new", F.lit(0))
