@@ -38,7 +38,7 @@ class Context:
 
 def driver_context(spark: SparkSession, sf_dir: str) -> Context:
     """A context whose raw tables are views over the driver's star schema."""
-    seen: dict[str, DataFrame] = {}
+    seen = adapter.shared_frames(spark, sf_dir)
 
     def raw(name: str) -> DataFrame | None:
         layer, _, table = name.partition(".")

@@ -6,6 +6,7 @@ comparison start from the same rows.  Names in braces are inputs.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 INPUTS = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
@@ -104,6 +105,16 @@ def inputs_of(sql: str) -> list[str]:
     return [n for n in (*INPUTS, *VIEWS) if "{" + n + "}" in sql]
 
 
+#: Views that many others read; they are kept, in memory or on disk, as landed tables would be.
+KEPT = ("b_order_items", "b_orders")
+_seen: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def shared_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The frames of one application over one folder, shared by all its queries."""
+    return _seen.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+
+
 def raw_table(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
     """One raw table; ``seen`` keeps the frames that several tables share."""
     seen = {} if seen is None else seen
@@ -113,4 +124,6 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataF
         else:
             sql = VIEWS[name]
             seen[name] = spark.sql(sql, **{n: raw_table(spark, sf_dir, n, seen) for n in inputs_of(sql)})
+            if name in KEPT:
+                seen[name] = seen[name].persist(StorageLevel.MEMORY_AND_DISK)
     return seen[name]
