@@ -61,7 +61,7 @@ def test_clusters_are_searched(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8)) * 3
     x = {i: (centres[i % 12] + rng.normal(size=8)).tolist() for i in range(1200)}
-    x |= {2000 + i: x[0] for i in range(400)}
+    x |= {2000 + i: [3 * v for v in x[0]] for i in range(400)}
     odd = [(5000, None), (5020, [0.0] * 8), (5040, [float("nan")] * 8), (5060, [None] + [1.0] * 7), (5080, [1.0] * 3), (5100, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, "a", 1) for i, v in [*x.items(), *odd]], "vec_id bigint, embedding array<double>, list string, rank int")
     got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, every=50, top=10).collect()}
