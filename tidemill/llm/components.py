@@ -17,18 +17,18 @@ from . import tables
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): component is the smallest id reachable."""
     spark = links.sparkSession
-    edges = tables.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "links")
+    edges = tables.written(links.select(F.col("a").cast("long").alias("low"), F.col("b").cast("long").alias("high")).filter("low <> high").distinct(), "links")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("p"))
+        both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
+        parent = both.groupBy(F.col("low").alias("id")).agg(F.min("high").alias("least")).select("id", F.least("id", "least").alias("p"))
         parent = tables.written(parent, "parents")
         up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         parent = tables.written(parent.join(up, "p").select("id", F.col("pp").alias("p")), "parents")
         steps.append(parent)
-        a = parent.select(F.col("id").alias("a"), F.col("p").alias("pa"))
-        b = parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        edges = tables.written(edges.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a <> b").distinct(), "links")
+        one = parent.select(F.col("id").alias("low"), F.col("p").alias("p1"))
+        other = parent.select(F.col("id").alias("high"), F.col("p").alias("p2"))
+        edges = tables.written(edges.join(one, "low").join(other, "high").select(F.least("p1", "p2").alias("low"), F.greatest("p1", "p2").alias("high")).filter("low <> high").distinct(), "links")
     if not steps:
         return spark.createDataFrame([], "id bigint, component bigint")
     # Compose the rounds from the last: an id's component is its choice's component.
