@@ -169,6 +169,12 @@ def near_duplicates(documents: DataFrame, size: int = 5, hundredths: int = 80) -
     A null doc_id is linked with nothing; its component is null and it is kept.  Long
     texts are read whole, other columns are ignored, an empty table gives no rows.
     """
+    spark = documents.sparkSession
+    with tables.temporary(spark):  # only the result stays
+        return tables.stay(_near_duplicates(documents, size, hundredths), "near-duplicates")
+
+
+def _near_duplicates(documents: DataFrame, size: int, hundredths: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = tables.written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")

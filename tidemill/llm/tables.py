@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _temporary:
+        _temporary[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is to stay must be written after it or with ``stay``."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stay(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, but the table outlives an enclosing ``temporary``."""
+    found = written(df, name)
+    if _temporary:
+        _temporary[-1].pop()
+    return found
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now."""
     gc.collect()
