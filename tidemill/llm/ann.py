@@ -36,6 +36,7 @@ COPIES = 4
 RATIO = 1.16
 #: Vectors in one part of a list, about.
 PART = 4096
+_PARTS, _STRIDE = 1 << 20, 7919
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -171,44 +172,69 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, ratio: float =
     parts = np.array([-(-sizes.get(i, 0) // PART) for i in range(k)], np.int64)
     graph = Graph(centroids)
 
+    groups = tables.partitions(spark)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and group of lists that it has to read: the parts there, and its vector."""
         for batch in batches:
             x = np.hstack([matrix(batch.column("v")), np.zeros((batch.num_rows, 1))]) if batch.num_rows else np.zeros((0, dims + 1))
-            row, lists, part = [], [], []
+            row, group, slots = [], [], []
             for i in range(len(x)):
+                own: dict[int, list[int]] = {}
                 for c in graph.search(x[i], ratio, 8):
                     for p in range(parts[c]):
-                        row.append(i)
-                        lists.append(c)
-                        part.append(p)
+                        own.setdefault((c * _STRIDE + p) % groups, []).append(c * _PARTS + p)
+                for g, s in own.items():
+                    row.append(i)
+                    group.append(g)
+                    slots.append(s)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int64()), batch.column("vec_id").take(at), batch.column("v").take(at)], names=["list", "part", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(slots, pa.list_(pa.int64())), batch.column("vec_id").take(at), batch.column("v").take(at)], names=["grp", "slots", "vec_id", "v"])
 
-    queries = all_rows.filter(F.col("vec_id") % every == 0).mapInArrow(route, "list int, part bigint, vec_id bigint, v array<double>")
+    queries = all_rows.filter(F.col("vec_id") % every == 0).mapInArrow(route, "grp bigint, slots array<bigint>, vec_id bigint, v array<double>")
     n_parts = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("list") + 1)
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts.cast("long")))
+    part, list_ = F.pmod(F.xxhash64("vec_id"), n_parts.cast("long")), F.col("list").cast("long")
+    dealt = postings.withColumn("part", part).select(((list_ * _STRIDE + F.col("part")) % groups).alias("grp"), (list_ * _PARTS + F.col("part")).alias("slot"), "vec_id", "v")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The nearest of each query among the lists of one group."""
         q, x = matrix(left.column("v")), matrix(right.column("v"))
         qid, xid = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(q) if len(x) else 0, 64):
-            near = q[at : at + 64] @ x.T
-            for i, row in enumerate(near):
-                row = np.where(xid == qid[at + i], -np.inf, row)
-                if len(row) > top:
-                    # The product's last bits depend on its shape: what may tie at the edge is measured again, one pair at a time.
-                    edge = np.partition(row, len(row) - top)[len(row) - top]
-                    keep = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
-                else:
-                    keep = np.arange(len(row))
-                keep = keep[xid[keep] != qid[at + i]]
-                exact = (x[keep] * q[at + i]).sum(axis=1)
-                order = np.lexsort([xid[keep], -exact])[: 2 * top]
-                out.append((np.full(len(order), qid[at + i]), xid[keep][order], exact[order]))
-        return pa.table({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
-
-    found = queries.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+        slots = left.column("slots").combine_chunks() if left.num_rows else pa.array([], pa.list_(pa.int64()))
+        wanted, reader = slots.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(slots.offsets.to_numpy()))
+        order = np.argsort(right.column("slot").to_numpy(), kind="stable")
+        held = right.column("slot").to_numpy()[order]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for slot in np.unique(wanted):
+            own = order[np.searchsorted(held, slot) : np.searchsorted(held, slot, "right")]
+            readers, y, yid = reader[wanted == slot], x[own], xid[own]
+            for at in range(0, len(readers) if len(own) else 0, 64):
+                some = readers[at : at + 64]
+                for i, row in zip(some, q[some] @ y.T, strict=True):
+                    row = np.where(yid == qid[i], -np.inf, row)
+                    if len(row) > 2 * top:
+                        # The product's last bits depend on its shape: what may tie at the edge is measured again, one pair at a time.
+                        edge = np.partition(row, len(row) - 2 * top)[len(row) - 2 * top]
+                        keep = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
+                    else:
+                        keep = np.arange(len(row))
+                    keep = keep[yid[keep] != qid[i]]
+                    exact = (y[keep] * q[i]).sum(axis=1)
+                    best = np.lexsort([yid[keep], -exact])[: 2 * top]
+                    out.append((np.full(len(best), qid[i]), yid[keep][best], exact[best]))
+        query, vec, score = (np.concatenate([o[j] for o in out]) for j in range(3))
+        # A vector may stand on several lists: its best place counts, and then the first of each query.
+        best = np.lexsort([-score, vec, query])
+        query, vec, score = query[best], vec[best], score[best]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+        query, vec, score = query[new], vec[new], score[new]
+        best = np.lexsort([vec, -score, query])
+        query, vec, score = query[best], vec[best], score[best]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return pa.table({"query_id": query[rank < top], "vec_id": vec[rank < top], "score": score[rank < top]})
+
+    found = queries.groupBy("grp").cogroup(dealt.groupBy("grp")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
