@@ -4,14 +4,16 @@ Texts become templates: numbers, names (capitalised words that do not begin a
 sentence) and units (unit words after a number) are replaced by typed placeholders,
 other words are lower-cased.  Windows of five template words of every document are
 hash-joined with those of the benchmark.  A document holds an item if at least four
-fifths of the item's windows stand close together in it and the slots agree: the
-words that the item's placeholders stand for must map to the document's words one to
-one, so that a question with other numbers or names is still found, and a passage
+fifths of the item's windows, repeated ones as often as the item has them, stand close
+together in it and the slots agree: with the item laid along the document in order,
+each word at one place, the words that its placeholders stand for must map to the
+document's words one to one, so that a question with other numbers or names is still found, and a passage
 that only has the same shape is not.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,21 +89,39 @@ def windows(template: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, rows, at
 
 
-def _agree(item_t: np.ndarray, item_w: np.ndarray, doc_w: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[int, bool]:
-    """(slots compared, whether item words and document words in slots map one to one)."""
+def _aligned(pairs: list[tuple[int, int]], shift: int) -> dict[int, int]:
+    """Item words to document words, one to one and in order: windows at ``shift`` first, others (insertions) where these leave gaps."""
+    to: dict[int, int] = {}
+    known: list[int] = []
+    for p, q in sorted(pairs, key=lambda x: (abs(x[1] - x[0] - shift), x)):
+        for a, b in zip(range(p, p + WINDOW), range(q, q + WINDOW)):
+            if a in to:
+                continue
+            i = bisect.bisect(known, a)
+            if (not i or to[known[i - 1]] < b) and (i == len(known) or b < to[known[i]]):
+                known.insert(i, a)
+                to[a] = b
+    return to
+
+
+def _agree(item_t: np.ndarray, item_w: np.ndarray, doc_w: np.ndarray, to: dict[int, int]) -> tuple[int, bool]:
+    """(slots compared, whether item words and document words in slots map one to one).
+
+    An item most of whose windows are placeholders alone has no wording to be known by:
+    its words have to be the same.
+    """
+    free = np.convolve(item_t <= 16, np.ones(min(WINDOW, len(item_t)), int), "valid") == min(WINDOW, len(item_t))
+    same = 2 * free.sum() > len(free)
     forth: dict[int, int] = {}
     back: dict[int, int] = {}
     clashes = slots = 0
-    seen: set[tuple[int, int]] = set()
-    for p, q in pairs:
-        for k in range(WINDOW):
-            if (p + k, q + k) in seen or p + k >= len(item_t) or q + k >= len(doc_w) or item_t[p + k] > 16:
-                continue
-            seen.add((p + k, q + k))
-            slots += 1
-            a, b = int(item_w[p + k]), int(doc_w[q + k])
-            if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                clashes += 1
+    for p, q in sorted(to.items()):
+        if p >= len(item_t) or q >= len(doc_w) or item_t[p] > 16:
+            continue
+        slots += 1
+        a, b = int(item_w[p]), int(doc_w[q])
+        if (same and a != b) or forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            clashes += 1
     return slots, clashes * 5 <= slots
 
 
@@ -116,7 +136,7 @@ class Index:
         h, rows, at = windows(self.template, self.first)
         order = np.argsort(h, kind="stable")
         self.hash, self.row, self.at = h[order], rows[order], at[order]
-        self.distinct = np.array([len(np.unique(h[rows == i])) for i in range(len(items))]) if len(items) < 5000 else np.bincount(np.unique(np.stack([rows.astype(U64), h]), axis=1)[0].astype(np.int64), minlength=len(items))
+        self.need = np.bincount(rows, minlength=len(items))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.hash >> U64(44)).astype(np.int64)] = True
 
@@ -133,34 +153,68 @@ class Index:
                 hits.setdefault((int(rows[m]), int(self.row[j])), []).append((int(at[m]), int(self.at[j]), int(h[m])))
         found = []
         for (row, item), got in sorted(hits.items()):
-            need = self.distinct[item]
-            if len({x[2] for x in got}) < SHARE * need:
-                continue
-            got.sort()
-            reach = max(WINDOW, int(1.5 * (self.first[item + 1] - self.first[item])))
-            best, lo_at, held = (0, 0, 0), 0, {}
-            for k, (q, _, x) in enumerate(got):
-                held[x] = held.get(x, 0) + 1
-                while got[lo_at][0] < q - reach:
-                    x = got[lo_at][2]
-                    held[x] -= 1
-                    if not held[x]:
-                        del held[x]
-                    lo_at += 1
-                best = max(best, (len(held), -lo_at, k))
-            n, a, b = best[0], -best[1], best[2]
-            if n < SHARE * need:
-                continue
             span = slice(self.first[item], self.first[item + 1])
-            # Where a window matches several places of the item, the alignment of most windows decides.
-            shifts = [q - p for q, p, _ in got[a : b + 1]]
-            usual = max(set(shifts), key=lambda s: (shifts.count(s), -s))
-            pairs = [(p, q) for q, p, _ in got[a : b + 1] if abs(q - p - usual) <= WINDOW]
-            slots, agree = _agree(self.template[span], self.word[span], word[first[row] : first[row + 1]], pairs)
-            if agree:
-                found.append((row, self.ids[item], got[a][0], n, n / need, slots))
+            held = self._held(got, int(self.need[item]), span.stop - span.start, self.template[span], self.word[span], word[first[row] : first[row + 1]])
+            if held:
+                at, n, slots = held
+                found.append((row, self.ids[item], at, n, n / int(self.need[item]), slots))
         return found
 
+    @staticmethod
+    def _held(got: list[tuple[int, int, int]], need: int, length: int, item_t: np.ndarray, item_w: np.ndarray, doc_w: np.ndarray) -> tuple[int, int, int] | None:
+        """(first word, windows found, slots) of the first place that holds the item, the one with most windows first."""
+        places: dict[int, list[int]] = {}
+        key: dict[int, int] = {}
+        for q, p, x in got:
+            places.setdefault(q, []).append(p)
+            key[q] = x
+        at = sorted(places)
+        if len(at) < SHARE * need:
+            return None
+        # Windows of the item within reach before each place; one that the item repeats counts as often as it stands in both.
+        reach = max(WINDOW, int(1.5 * length))
+        seen: dict[int, int] = {}
+        n = lo = 0
+        ends: list[tuple[int, int, int]] = []
+        for k, q in enumerate(at):
+            seen[key[q]] = seen.get(key[q], 0) + 1
+            n += seen[key[q]] <= len(places[q])
+            while at[lo] < q - reach:
+                n -= seen[key[at[lo]]] <= len(places[at[lo]])
+                seen[key[at[lo]]] -= 1
+                lo += 1
+            ends.append((n, -lo, k))
+        best = max(ends)
+        if best[0] < SHARE * need:
+            return None
+        # Where a window matches several places, the item may stand at any shift that has most windows among those
+        # near it: the usual one of the best place is tried first, the others must hold the item's share of windows by themselves.
+        shifts: dict[int, list[int]] = {}
+        for q in at:
+            for p in places[q]:
+                shifts.setdefault(q - p, []).append(q)
+        near: dict[int, int] = {}
+        for q in at[-best[1] : best[2] + 1]:
+            for p in places[q]:
+                near[q - p] = near.get(q - p, 0) + 1
+        usual = max(near, key=lambda s: (near[s], -s))
+        for s in [usual, *sorted(shifts.keys() - {usual}, key=lambda s: (-len(shifts[s]), s))]:
+            if s != usual:
+                if any(len(shifts.get(s + d, ())) > len(shifts[s]) for d in range(-WINDOW, WINDOW + 1)):
+                    continue
+                k = bisect.bisect_left(at, shifts[s][-1])
+                best = max(ends[k : max(k + 1, bisect.bisect_right(at, shifts[s][0] + reach))])
+                if best[0] < SHARE * need:
+                    continue
+            pairs = [(p, q) for q in at[-best[1] : best[2] + 1] for p in places[q] if abs(q - p - s) <= WINDOW]
+            to = _aligned(pairs, s)
+            if s != usual and len({p for p, q in pairs if all(to.get(p + d) == q + d for d in range(WINDOW))}) < SHARE * need:
+                continue
+            slots, agree = _agree(item_t, item_w, doc_w, to)
+            if agree:
+                return at[-best[1]], best[0], slots
+        return None
+
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("windows", pa.int64()), ("share", pa.float64()), ("slots", pa.int64())])
 _FOUND_DDL = "doc_id bigint, item_id bigint, first_word bigint, windows bigint, share double, slots bigint"
@@ -239,7 +293,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([int(Index([(0, t)]).distinct[0]) for t in texts], pa.int64())], names=["item_id", "item", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([int(Index([(0, t)]).need[0]) for t in texts], pa.int64())], names=["item_id", "item", "need"])
 
     texts = items.mapInArrow(needs, "item_id bigint, item string, need bigint")
     pairs = tables.written(pairs.join(texts.select("item_id", "need"), "item_id").filter(F.col("n") >= SHARE * F.col("need")).select("doc_id", "item_id").distinct(), "leak-candidates")
