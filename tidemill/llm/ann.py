@@ -5,7 +5,8 @@ put on the list of its nearest centroid, and a boundary vector also on those of
 centroids that are nearly as near.  Long lists are dealt into parts of bounded size,
 so no list is a large task.  A query walks an in-memory graph of the centroids, keeps
 the lists whose distance is within a ratio of the nearest, and is compared with all
-vectors on them.
+vectors on them.  Where near lists hold too few vectors, the walk goes on until they
+hold several times as many as are asked for.
 
 Largest inner product becomes smallest distance by one more coordinate, which gives
 all vectors the length of the longest; queries have 0 there.
@@ -13,6 +14,7 @@ all vectors the length of the longest; queries have 0 there.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -32,8 +34,10 @@ ROWS_PER_CENTROID = 100
 BOUNDARY = 1.10
 #: ... on so many lists at most.
 COPIES = 4
-#: A query reads lists up to this many times as far as the nearest.
+#: A query reads lists up to this many times as far as the nearest ones that together hold the vectors asked for, ...
 RATIO = 1.16
+#: ... and at least lists that hold this many times as many.
+AMPLE = 8
 #: Vectors in one part of a list, about.
 PART = 4096
 _PARTS, _STRIDE = 1 << 20, 7919
@@ -93,10 +97,21 @@ class Graph:
                     to[j].add(i)
         self.links = [np.array(sorted(s), np.int64) for s in to]
         # Walks start at a spread of centroids, so that every region of the graph is reached.
-        self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), 24)).astype(np.int64))
-
-    def search(self, q: np.ndarray, ratio: float, width: int) -> list[int]:
-        """Centroids within ``ratio`` times the nearest distance, nearest first."""
+        entries = np.linspace(0, len(centroids) - 1, min(len(centroids), 24)).astype(np.int64).tolist()
+        apart = np.ones(len(centroids), bool)
+        for i in [*entries, *range(len(centroids))]:
+            if apart[i]:  # tight clusters may have no link between them
+                entries.append(i)
+                todo = [i]
+                while todo:
+                    new = [j for j in self.links[todo.pop()].tolist() if apart[j]]
+                    apart[new] = False
+                    todo += new
+                apart[i] = False
+        self.entries = np.unique(np.array(entries, np.int64))
+
+    def search(self, q: np.ndarray, ratio: float, width: int, sizes: np.ndarray, enough: int) -> list[int]:
+        """Centroids within ``ratio`` times the distance to which the nearest ones have ``enough`` vectors by ``sizes``, nearest first."""
         if not len(self.c):
             return []
         seen = np.zeros(len(self.c), bool)
@@ -110,17 +125,27 @@ class Graph:
         todo = reach(self.entries)
         heapq.heapify(todo)
         done: list[tuple[float, int]] = []
-        best = todo[0][0]
+
+        def limit() -> float:
+            n, far = 0, np.inf
+            for d, i in done:
+                n += sizes[i]
+                if n >= enough:
+                    far = min(far, d * ratio)
+                if n >= AMPLE * enough:
+                    return max(far, d)
+            return np.inf
+
         while todo:
             d, i = heapq.heappop(todo)
-            # Past the ratio no list is read; ``width`` more are walked so that gaps are crossed.
-            if d > best * ratio and len(done) >= width and d > sorted(done)[width - 1][0]:
+            # Past the limit no list is read; ``width`` more are walked so that gaps are crossed.
+            if len(done) >= width and d > done[width - 1][0] and d > limit():
                 break
-            done.append((d, i))
-            best = min(best, d)
+            bisect.insort(done, (d, i))
             for x in reach(self.links[i]):
                 heapq.heappush(todo, x)
-        return [i for d, i in sorted(done) if d <= best * ratio]
+        most = limit()
+        return [i for d, i in done if d <= most]
 
 
 def usable(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -165,10 +190,15 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, ratio: float =
                 near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
                 there = np.take_along_axis(d, near, axis=1)
                 row, copy = np.nonzero(there <= np.maximum(there[:, :1] * BOUNDARY, there[:, :1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, copy].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["list", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, copy].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(copy == 0)], names=["list", "vec_id", "v", "own"])
 
-    postings = tables.written(all_rows.mapInArrow(assign, "list int, vec_id bigint, v array<double>"), "postings")
+    postings = tables.written(all_rows.mapInArrow(assign, "list int, vec_id bigint, v array<double>, own boolean"), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_CENTROIDS rows
+    # Distinct vec_ids, each counted on one list where it is nearest, so that lists read together hold as many as they add up to.
+    once = postings.filter("own").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    distinct = np.zeros(k, np.int64)
+    for r in once.collect():
+        distinct[r["list"]] = r["n"]
     parts = np.array([-(-sizes.get(i, 0) // PART) for i in range(k)], np.int64)
     graph = Graph(centroids)
 
@@ -181,7 +211,7 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, ratio: float =
             row, group, slots = [], [], []
             for i in range(len(x)):
                 own: dict[int, list[int]] = {}
-                for c in graph.search(x[i], ratio, 8):
+                for c in graph.search(x[i], ratio, 8, distinct, top + 1):
                     for p in range(parts[c]):
                         own.setdefault((c * _STRIDE + p) % groups, []).append(c * _PARTS + p)
                 for g, s in own.items():
