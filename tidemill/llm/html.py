@@ -9,6 +9,8 @@ two neighbours whose path has the longer common beginning.  Their lines are alig
 by longest common subsequence, and shared lines are deleted.  Lines inside an explicit
 article are exempt: two pages may carry the same paragraph, and an article must stay
 whole.  So differencing decides where the markup does not say what the article is.
+The main part of a page (<main>, role or class) may hold site furniture around its
+text: lines outside it go, and of its own those that are shared at its edges.
 """
 
 from __future__ import annotations
@@ -42,15 +44,15 @@ MARKS = set(
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ARTICLE_MARKS = set("article article-body articlebody post-content entry-content main-content story story-body post-body".split())
 
-NEUTRAL, ARTICLE = 0, 1
+NEUTRAL, ARTICLE, MAIN = 0, 1, 2
 
 
 def lines(page: str) -> list[tuple[int, str]]:
     """(place, text) of each block of a page outside its furniture, in page order."""
     found: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
-    skipped = inside = 0
+    stack: list[tuple[str, bool, int]] = []  # element, furniture, place
+    skipped, inside = 0, [0, 0, 0]
     low = page.lower()
     at = 0
 
@@ -59,7 +61,7 @@ def lines(page: str) -> list[tuple[int, str]]:
             text = re.sub(r"\s+", " ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                found.append((ARTICLE if inside else NEUTRAL, text))
+                found.append((ARTICLE if inside[ARTICLE] else MAIN if inside[MAIN] else NEUTRAL, text))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -85,9 +87,9 @@ def lines(page: str) -> list[tuple[int, str]]:
                 if stack[k][0] == name:
                     if skipped and name in INLINE and any(f for _, f, _ in stack[k + 1 :]):
                         break
-                    for _, furniture, article in stack[k:]:
+                    for _, furniture, place in stack[k:]:
                         skipped -= furniture
-                        inside -= article
+                        inside[place] -= 1
                     del stack[k:]
                     break
             continue
@@ -100,7 +102,7 @@ def lines(page: str) -> list[tuple[int, str]]:
             continue
         if not skipped and name not in INLINE:
             close_block() if name not in ("td", "th") else parts.append(" ")
-        furniture, article = _kind(name, m[3])
+        furniture, place = _kind(name, m[3])
         # Furniture that is never closed would swallow the page.
         if furniture and low.find(f"</{name}", at) < 0:
             furniture = False
@@ -109,23 +111,23 @@ def lines(page: str) -> list[tuple[int, str]]:
                 if stack[k][0] == "p":
                     for _, f, a in stack[k:]:
                         skipped -= f
-                        inside -= a
+                        inside[a] -= 1
                     del stack[k:]
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if not skipped and article and not furniture and not inside:
+        if not skipped and place and not furniture and not inside[place]:
             close_block()
-        stack.append((name, furniture, article and not furniture and not skipped))
+        stack.append((name, furniture, NEUTRAL if furniture or skipped else place))
         skipped += furniture
-        inside += stack[-1][2]
+        inside[stack[-1][2]] += 1
     close_block()
     return found
 
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    """(furniture, article) of an element."""
-    furniture, article = name in FURNITURE, name in ("article", "main")
+def _kind(name: str, attributes: str) -> tuple[bool, int]:
+    """(furniture, place) of an element."""
+    furniture, article = name in FURNITURE, {"article": ARTICLE, "main": MAIN}.get(name, NEUTRAL)
     if attributes and name not in ("html", "body"):
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
@@ -140,10 +142,10 @@ def _kind(name: str, attributes: str) -> tuple[bool, bool]:
                 elif article and known & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
                     furniture = True
                 elif set(words) & ARTICLE_MARKS:
-                    article = True
+                    article = ARTICLE if article == ARTICLE or set(words) & (ARTICLE_MARKS - {"main-content"}) else MAIN
             elif key == "role":
                 furniture = furniture or value in ROLES
-                article = article or value in ("main", "article")
+                article = ARTICLE if value == "article" else article or (MAIN if value == "main" else NEUTRAL)
     return furniture, article
 
 
@@ -181,7 +183,14 @@ def shared_lines(mine: list[int], other: list[int]) -> list[int]:
     return found + list(range(len(mine) - z, len(mine)))
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("settled", pa.bool_()), ("blocks", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))])
+def at_edges(shared: list[int], places: list[int]) -> list[int]:
+    """Shared lines at the beginning and end of ``places``; none if all are shared."""
+    known = set(shared)
+    own = [i for i, x in enumerate(places) if x not in known]
+    return places[: own[0]] + places[own[-1] + 1 :] if own else []
+
+
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("settled", pa.bool_()), ("blocks", pa.list_(pa.string())), ("main", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +201,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 found = lines(page or "")
                 article = [t for place, t in found if place == ARTICLE]
+                main = [] if article else [i for i, (place, _) in enumerate(found) if place == MAIN]
                 host, path = split_url(url or "")
-                rows.append((page_id, url, host, path, bool(article), article or [t for _, t in found], [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found]))
+                rows.append((page_id, url, host, path, bool(article), article or [t for _, t in found], main, [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found]))
             columns = list(zip(*rows, strict=True)) or [[]] * len(_PARSED)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARSED, strict=True)], schema=_PARSED)
 
@@ -205,14 +215,15 @@ def extract(pages: DataFrame) -> DataFrame:
     decoded and white space inside a block is one space.  Null and empty html, and
     pages of nothing but furniture, give an empty text.  A null url belongs to the
     empty host.  A page without article loses the lines that it shares with its nearest
-    page; an only page of a host loses none.  Repeated rows are pages of their own,
+    page; an only page of a host loses none.  One with a main part keeps that, without the
+    shared lines at its edges, and all of it if all are shared.  Repeated rows are pages of their own,
     and if they are neighbours without article they differ from nothing, so that equal
     pages do not erase each other.  Long pages are read whole; other columns are
     ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = p.mapInArrow(_parse, "page_id bigint, url string, host string, path string, settled boolean, blocks array<string>, hashes array<bigint>")
+    parsed = p.mapInArrow(_parse, "page_id bigint, url string, host string, path string, settled boolean, blocks array<string>, main array<int>, hashes array<bigint>")
     parsed = tables.written(parsed.withColumn("key", F.monotonically_increasing_id()), "parsed-pages")
     text = F.array_join("blocks", "\n\n").alias("text")
     done = parsed.filter("settled").select("page_id", "url", text)
@@ -222,7 +233,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # Neighbours in (host, path) order: by range, so that a large host is many tasks, and across the ranges' edges.
     order = ["host", "path", "page_id", "key"]
-    slim = parsed.select(*order, "settled", "hashes").repartitionByRange(tables.partitions(spark), *order).withColumn("range", F.spark_partition_id())
+    slim = parsed.select(*order, "settled", "main", "hashes").repartitionByRange(tables.partitions(spark), *order).withColumn("range", F.spark_partition_id())
     slim = tables.written(slim, "page-order")
     one = F.struct("host", "path", "hashes")
     within = Window.partitionBy("range").orderBy(*order)
@@ -230,7 +241,7 @@ def extract(pages: DataFrame) -> DataFrame:
     across = Window.orderBy("range")  # one row for each range
     edges = edges.select("range", F.lag("tail").over(across).alias("left"), F.lead("head").over(across).alias("right"))
     near = slim.withColumn("before", F.lag(one).over(within)).withColumn("after", F.lead(one).over(within)).filter("not settled").join(F.broadcast(edges), "range")
-    near = near.select("key", "host", "path", "hashes", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
+    near = near.select("key", "host", "path", "main", "hashes", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
 
     def common(a: str, b: str) -> int:
         n = 0
@@ -248,6 +259,9 @@ def extract(pages: DataFrame) -> DataFrame:
                     nearest = max(sides, key=lambda s: common(s["path"] or "", r["path"] or ""))
                     if nearest["hashes"] != r["hashes"]:
                         drop = shared_lines(r["hashes"], nearest["hashes"])
+                if r["main"]:
+                    inner = set(r["main"])
+                    drop = at_edges(drop, r["main"]) + [i for i in range(len(r["hashes"])) if i not in inner]
                 keys.append(r["key"])
                 drops.append(drop)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], names=["key", "drop"])
