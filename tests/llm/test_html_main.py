@@ -8,7 +8,7 @@ def test_main_parts_are_differenced_at_their_edges(spark):
     rows += [(6, "http://n/1", "<main><p>top</p><article><p>top</p><p>text</p></article></main>"), (7, "http://n/2", "<main><p>top</p><p>own</p></main>")]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     own = {i: f"first {i}\n\nshared\n\nlast {i}" for i in (1, 2)}
-    assert got == own | {3: "site notice\n\nfirst 3\n\nshared\n\nlast 3\n\nshare this", 4: "all", 5: "all", 6: "top\n\ntext", 7: "own"}
+    assert got == own | {3: "site notice\n\nfirst 3\n\nshared\n\nlast 3\n\nshare this", 4: "all", 5: "all", 6: "top\n\ntop\n\ntext", 7: "own"}
 
 
 def test_edges():

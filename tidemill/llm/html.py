@@ -200,7 +200,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 found = lines(page or "")
-                article = [t for place, t in found if place == ARTICLE]
+                article = [t for place, t in found if place != NEUTRAL] if any(place == ARTICLE for place, _ in found) else []
                 main = [] if article else [i for i, (place, _) in enumerate(found) if place == MAIN]
                 host, path = split_url(url or "")
                 rows.append((page_id, url, host, path, bool(article), article or [t for _, t in found], main, [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found]))
