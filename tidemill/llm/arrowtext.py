@@ -17,7 +17,9 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are worked on together; one longer text is taken whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Values that are hashed together, about; only a longer run needs larger tables.
+SPAN = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -54,12 +56,14 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``limit`` bytes of text: (slice, bytes, offsets)."""
-    data, offsets = string_bytes(batch.column(text))
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
-        part = offsets[start : end + 1]
-        yield batch.slice(start, end - start), data[part[0] : part[-1]], part - part[0]
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        part = batch.slice(start, end - start)
+        yield part, *string_bytes(part.column(text))
         start = end
 
 
@@ -91,7 +95,20 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ranges of values; equal ranges have equal hashes wherever they stand."""
+    """64-bit hashes of ranges of values, by ascending start; equal ranges have equal hashes wherever they stand."""
+    if len(values) <= SPAN:
+        return _hash_span(values, starts, ends)
+    found = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SPAN)))
+        a, b = int(starts[i]), int(ends[i:j].max())
+        found[i:j] = _hash_span(values[a:b], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return found
+
+
+def _hash_span(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(values)
     sums = np.zeros(n + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * powers(_BASE, n), out=sums[1:])

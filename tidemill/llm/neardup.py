@@ -60,7 +60,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
         if cuts[i] < cuts[i + 1]:
             yield np.unique(windows[cuts[i] : cuts[i + 1]])
         elif first[i] < first[i + 1]:
-            yield arrowtext.run_hashes(hashes, first[i : i + 1], first[i + 1 : i + 2])
+            yield arrowtext.run_hashes(hashes[first[i] : first[i + 1]], np.zeros(1, np.int64), first[i + 1 : i + 2] - first[i])
         else:
             yield np.zeros(0, U64)
 
@@ -193,7 +193,6 @@ def _near_duplicates(documents: DataFrame, size: int, hundredths: int) -> DataFr
     rows = tables.written(rows.join(shared.select("band", "hub"), "band"), "shared-bands")
     involved = tables.written(rows.select(F.col("id").alias("doc_id")).distinct(), "involved")
     texts = tables.written(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    tables.release(spark)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """3. Pairs (a, b) whose sizes allow the threshold and whose estimate comes near it."""
@@ -206,9 +205,7 @@ def _near_duplicates(documents: DataFrame, size: int, hundredths: int) -> DataFr
         """4. Those of the pairs that are links on full sets."""
         with_texts = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         checked = with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, hundredths), "a bigint, b bigint, linked boolean")
-        found = tables.written(checked.filter("linked").select("a", "b"), "confirmed")
-        tables.release(spark)
-        return found
+        return tables.written(checked.filter("linked").select("a", "b"), "confirmed")
 
     links = repeats
     tested = None
