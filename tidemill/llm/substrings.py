@@ -10,8 +10,9 @@ maximal repeats, and the words under them are removed.
 
 Places travel in packed rows, many per row, grouped by hash on the way out and by
 document on the way back.  Nothing pairs the members of a group: what a group needs
-to know is its smallest and its largest doc_id.  Equal texts that meet in one batch
-send only the one with the smallest doc_id.
+to know is its smallest and its largest doc_id.  So places are aggregated before they
+are sent: what is a hit already among the places of one task asks for no answer.  Equal
+texts that meet in one batch send only the one with the smallest doc_id.
 
 Blocks are compared by 32 bits and the group's number, where a chance hit only costs
 a comparison; windows by 64 bits and the group's number.
@@ -33,6 +34,10 @@ from . import arrowtext, packing, tables
 from .arrowtext import U64
 
 _HOME_SALT = 29
+#: Places that a task of the first step holds before it sends them on.
+FLUSH = 1 << 19
+#: Groups of blocks and of texts for each partition: with several, partitions are of even size and a group is a small part of one.
+BLOCK_GROUPS, HOMES = 4, 2
 _PACKED = pa.schema([("grp", pa.int32()), *packing.ARROW])
 _PACKED_DDL = f"grp int, {packing.SCHEMA}"
 
@@ -53,66 +58,93 @@ def _rows(groups: np.ndarray, n: int, doc: np.ndarray, mark: np.ndarray, at: np.
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
-def _probe(window: int, groups: int):
+def _probe(window: int, groups: int, n_homes: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
-            for part, data, offsets in arrowtext.chunks(batch, limit=4_000_000):
+            for part, data, offsets in arrowtext.chunks(batch):
                 hashes, first, _, _ = arrowtext.byte_words(data, offsets)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 long = np.diff(first) >= window
                 # Of equal texts, all but the smallest doc_id are settled: whatever they repeat, that one repeats or holds.
-                order = np.lexsort([ids, _marks(hashes, first)])
-                order = order[long[order]]
                 marks = _marks(hashes, first)
+                order = np.lexsort([ids, marks])
+                order = order[long[order]]
                 again = np.zeros(part.num_rows, bool)
                 if len(order) > 1:
                     again[order[1:]] = marks[order[1:]] == marks[order[:-1]]
                 h, rows, at = arrowtext.rolling(hashes, first, block)
                 use = long[rows] & ~again[rows]
-                h, rows, at = h[use], rows[use], at[use]
-                yield _rows(((h >> U64(32)) % U64(groups)).astype(np.int64), groups, ids[rows], np.zeros(len(rows), U64), at, h.astype(np.uint32))
+                held.append((h[use], ids[rows[use]], at[use].astype(np.int32)))
+                n += len(held[-1][0])
+                if n >= FLUSH:
+                    yield _sent(held, block, groups, n_homes)
+                    held, n = [], 0
                 if again.any():
                     lowest = {marks[i]: ids[i] for i in order[~again[order]]}
                     copies = np.array([i for i in np.flatnonzero(again) if ids[i] > lowest[marks[i]]], np.int64)
                     if len(copies):
-                        yield _rows(homes(ids[copies], groups), groups, ids[copies], np.zeros(len(copies), U64), np.full(len(copies), -1), np.zeros(len(copies), np.uint32))
+                        yield _rows(groups + homes(ids[copies], n_homes), groups + n_homes, ids[copies], marks[copies], np.full(len(copies), -1), np.zeros(len(copies), np.uint32))
+        if n:
+            yield _sent(held, block, groups, n_homes)
 
     return run
 
 
-def _match_blocks(window: int, groups: int):
+def _hits(doc: np.ndarray, reference: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is it a hit, smallest doc_id with the reference block, largest doc_id) of places that stand together by block."""
+    size = np.diff(np.append(heads, len(doc)))
+    lowest = np.repeat(np.minimum.reduceat(np.where(reference, doc, np.iinfo(np.int64).max), heads), size)
+    highest = np.repeat(np.maximum.reduceat(doc, heads), size)
+    return (lowest < doc) | (reference & (highest > doc)), lowest, highest
+
+
+def _sent(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int, groups: int, n_homes: int) -> pa.RecordBatch:
+    """Places by the group of their block's hash, but those that are known as hits already by the group of their text.
+
+    Of the places of one block, those that are hits among the ones held here need no
+    answer.  Two of them go out all the same, as they decide for others: the smallest
+    doc_id with the reference block and the largest.  So a passage that stands in very
+    many documents sends few places for each batch.
+    """
+    h, doc, at = (np.concatenate([x[j] for x in held]) for j in range(3))
+    order, heads = packing.by_key(h)
+    d, reference = doc[order], at[order] % block == 0
+    hit, lowest, highest = _hits(d, reference, heads)
+    known = np.zeros(len(h), bool)
+    known[order] = hit & ~(reference & (d == lowest)) & (d != highest)
+    group = ((h >> U64(32)) % U64(groups)).astype(np.int64)
+    group[known] = groups + homes(doc[known], n_homes)
+    return _rows(group, groups + n_homes, doc, np.zeros(len(h), U64), at, h.astype(np.uint32))
+
+
+def _match_blocks(window: int, groups: int, n_homes: int):
     block = window // 2
 
     def run(table: pa.Table) -> pa.Table:
-        doc, mark, at, key = packing.unpack_entries(table, np.uint32)
-        copies = at < 0
-        out = [_rows(homes(doc[copies], groups), groups, doc[copies], mark[copies], at[copies], None)]
-        doc, at, key = doc[~copies], at[~copies], key[~copies]
-        if len(doc):
-            order, heads = packing.by_key(key)
-            d, reference = doc[order], at[order] % block == 0
-            lowest = np.minimum.reduceat(np.where(reference, d, np.iinfo(np.int64).max), heads)
-            highest = np.maximum.reduceat(d, heads)
-            size = np.diff(np.append(heads, len(d)))
-            hit = (np.repeat(lowest, size) < d) | (reference & (np.repeat(highest, size) > d))
-            hit = np.sort(order[hit])
-            if len(hit):
-                out.append(_rows(homes(doc[hit], groups), groups, doc[hit], np.zeros(len(hit), U64), at[hit], None))
-        return pa.Table.from_batches(out, schema=_PACKED)
+        group = table.column("grp")[0].as_py()
+        if group >= groups:  # known already: on to the text
+            return table.set_column(0, _PACKED.field(0), pa.array(np.full(table.num_rows, group - groups, np.int32))).cast(_PACKED)
+        doc, _, at, key = packing.unpack_entries(table, np.uint32)
+        order, heads = packing.by_key(key)
+        hit, _, _ = _hits(doc[order], at[order] % block == 0, heads)
+        hit = np.sort(order[hit])
+        return pa.Table.from_batches([_rows(homes(doc[hit], n_homes), n_homes, doc[hit], np.zeros(len(hit), U64), at[hit], None)], schema=_PACKED)
 
     return run
 
 
-def _match_windows(groups: int):
+def _match_windows(n_homes: int):
     def run(table: pa.Table) -> pa.Table:
         doc, mark, at, key = packing.unpack_entries(table, U64)
         order, heads = packing.by_key(key)
         d = doc[order]
         lowest = np.minimum.reduceat(d, heads) if len(d) else d
         hit = np.sort(order[np.repeat(lowest, np.diff(np.append(heads, len(d)))) < d])
-        return pa.Table.from_batches([_rows(homes(doc[hit], groups), groups, doc[hit], mark[hit], at[hit], None)], schema=_PACKED)
+        return pa.Table.from_batches([_rows(homes(doc[hit], n_homes), n_homes, doc[hit], mark[hit], at[hit], None)], schema=_PACKED)
 
     return run
 
@@ -138,18 +170,19 @@ def _candidates(window: int, groups: int, with_text: bool, out_schema: pa.Schema
     """Texts meet the marked places of their documents: settled results, or the text and the windows to compare."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {k[0]: v for k, v in _by_doc(*packing.unpack_entries(right, None)[:3]).items()}
+        found = _by_doc(*packing.unpack_entries(right, None)[:3])
         out = []
+        w_doc, w_mark, w_at, w_key = [], [], [], []
+        blank = lambda m: {f: pa.nulls(m, t) for f, t in zip(out_schema.names, out_schema.types, strict=True)}
         for batch in left.combine_chunks().to_batches():
-            for part, data, offsets in arrowtext.chunks(batch, limit=4_000_000):
+            for part, data, offsets in arrowtext.chunks(batch):
                 raw = data.tobytes()
                 hashes, first, _, _ = arrowtext.byte_words(data, offsets)
                 marks, ids, n = _marks(hashes, first), part.column("doc_id").to_pylist(), np.diff(first)
                 sha, removed, text = [], [], []
-                w_doc, w_mark, w_at, w_key = [], [], [], []
                 for i, doc in enumerate(ids):
-                    at = found.get(doc) if doc is not None and n[i] >= window else None
-                    if at is not None and at[0] < 0:  # a copy of a text with a smaller doc_id
+                    at = found.get((doc, 0)) if doc is not None and n[i] >= window else None
+                    if (doc, int(marks[i])) in found:  # a copy of a text with a smaller doc_id
                         sha.append(sha256(b"").hexdigest())
                         removed.append(int(n[i]))
                         text.append("" if with_text else None)
@@ -169,14 +202,13 @@ def _candidates(window: int, groups: int, with_text: bool, out_schema: pa.Schema
                         sha.append(None)
                         removed.append(None)
                         text.append(part.column("text")[i].as_py())
-                blank = lambda m: {f: pa.nulls(m, t) for f, t in zip(out_schema.names, out_schema.types, strict=True)}
                 rows = blank(part.num_rows) | {"doc_id": part.column("doc_id"), "text": pa.array(text, pa.string()), "extra": part.column("extra").cast(out_schema.field("extra").type), "home": part.column("home"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "is_doc": pa.array([True] * part.num_rows)}
                 out.append(pa.RecordBatch.from_arrays([rows[f] for f in out_schema.names], schema=out_schema))
-                if w_key:
-                    key = np.concatenate(w_key)
-                    packed = _rows((arrowtext.mix(key, 5) % U64(groups)).astype(np.int64), groups, np.concatenate(w_doc), np.concatenate(w_mark), np.concatenate(w_at), key)
-                    rows = blank(packed.num_rows) | {c: packed.column(c) for c in _PACKED.names} | {"is_doc": pa.array([False] * packed.num_rows)}
-                    out.append(pa.RecordBatch.from_arrays([rows[f] for f in out_schema.names], schema=out_schema))
+        if w_key:
+            key = np.concatenate(w_key)
+            packed = _rows((arrowtext.mix(key, 5) % U64(groups)).astype(np.int64), groups, np.concatenate(w_doc), np.concatenate(w_mark), np.concatenate(w_at), key)
+            rows = blank(packed.num_rows) | {c: packed.column(c) for c in _PACKED.names} | {"is_doc": pa.array([False] * packed.num_rows)}
+            out.append(pa.RecordBatch.from_arrays([rows[f] for f in out_schema.names], schema=out_schema))
         return pa.Table.from_batches(out, schema=out_schema)
 
     return run
@@ -196,7 +228,7 @@ def _settle(window: int, with_text: bool, out_schema: pa.Schema):
         found = _by_doc(*packing.unpack_entries(right, None)[:3])
         out = []
         for batch in left.combine_chunks().to_batches():
-            for part, data, offsets in arrowtext.chunks(batch, limit=4_000_000):
+            for part, data, offsets in arrowtext.chunks(batch):
                 raw = data.tobytes()
                 hashes, first, starts, ends = arrowtext.byte_words(data, offsets)
                 marks = _marks(hashes, first)
@@ -236,28 +268,26 @@ def remove_repeats(documents: DataFrame, window: int = 50, with_text: bool = Tru
     Long texts are read whole; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    groups = tables.partitions(spark)
+    parts = tables.partitions(spark)
+    groups, n_homes = BLOCK_GROUPS * parts, HOMES * parts
     others = [c for c in documents.columns if c not in ("doc_id", "text")]
     extra = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), extra.alias("extra"))
     slim = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
 
-    probes = slim.mapInArrow(_probe(window, groups), _PACKED_DDL)
-    found = tables.written(probes.groupBy("grp").applyInArrow(_match_blocks(window, groups), _PACKED_DDL), "block-hits")
-    tables.release(spark)
-
     base = _nullable(docs.schema)
     result = T.StructType.fromDDL("n_words bigint, n_removed bigint, kept_sha256 string")
     home, packed = T.StructType.fromDDL("home int"), T.StructType.fromDDL(f"is_doc boolean, {_PACKED_DDL}")
-    placed = docs.mapInArrow(_with_home(groups, to_arrow_schema(base)), _joined(base, home))
-    both = _joined(base, home, result, packed)
-    both = placed.groupBy("home").cogroup(found.withColumnRenamed("grp", "home").groupBy("home")).applyInArrow(_candidates(window, groups, with_text, to_arrow_schema(both)), both)
-    both = tables.written(both, "window-candidates")
-    tables.release(spark)
+    with tables.temporary(spark):
+        probes = slim.mapInArrow(_probe(window, groups, n_homes), _PACKED_DDL)
+        found = tables.written(probes.groupBy("grp").applyInArrow(_match_blocks(window, groups, n_homes), _PACKED_DDL), "block-hits")
+        placed = docs.mapInArrow(_with_home(n_homes, to_arrow_schema(base)), _joined(base, home))
+        both = _joined(base, home, result, packed)
+        both = placed.groupBy("home").cogroup(found.withColumnRenamed("grp", "home").groupBy("home")).applyInArrow(_candidates(window, parts, with_text, to_arrow_schema(both)), both)
+        both = tables.stay(both, "window-candidates")
 
     windows = both.filter("not is_doc").select("grp", *[c for c, _ in packing.ARROW])
-    repeated = tables.written(windows.groupBy("grp").applyInArrow(_match_windows(groups), _PACKED_DDL), "window-hits")
-    tables.release(spark)
+    repeated = tables.written(windows.groupBy("grp").applyInArrow(_match_windows(n_homes), _PACKED_DDL), "window-hits")
     waiting = both.filter("is_doc and n_removed is null").select("doc_id", "text", "extra", "home", "n_words")
     out = _joined(base, result)
     settled = waiting.groupBy("home").cogroup(repeated.withColumnRenamed("grp", "home").groupBy("home")).applyInArrow(_settle(window, with_text, to_arrow_schema(out)), out)
