@@ -1,16 +1,25 @@
-"""Main text of web pages by structure and by differencing against the nearest page.
-
-A page is cut into lines, one for each block of text, and each line knows whether it
-stands in the article, in page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments: by element, role, class or id), or in neither.
-
-Pages of a host are ordered by URL path, and each page is paired with that one of its
-two neighbours whose path has the longer common beginning.  Their lines are aligned
-by longest common subsequence, and shared lines are deleted.  Lines inside an explicit
-article are exempt: two pages may carry the same paragraph, and an article must stay
-whole.  So differencing decides where the markup does not say what the article is.
-The main part of a page (<main>, role or class) may hold site furniture around its
-text: lines outside it go, and of its own those that are shared at its edges.
+"""Main text of web pages by differencing against the nearest page, held in bounds by structure.
+
+A page is cut into lines, one for each block of text.  Elements and class words that
+can only be page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) take their lines out; every other line knows whether it stands in the article
+or the main part, whether its class is a mere hint of furniture (share-price may be
+content, share-links may not), and whether its block is a paragraph or heading.
+
+Pages of a host are ordered by URL path, and every page is paired with that one of its
+two neighbours whose path has the longer common beginning.  Their lines are aligned by
+longest common subsequence, and shared lines are deleted, as far as what the page says
+about itself leaves that open:
+
+- without article or main part every shared line goes;
+- of a main part (<main>, role or class) those shared at its edges;
+- of an article, with what stands around it in a main part, those at its edges in blocks
+  other than the article's own paragraphs and headings, unless half the lines or more
+  are shared, since the pages are copies of each other then;
+- and everywhere those in blocks with a hint.
+
+Paragraphs and headings of an explicit article stay, shared or not: near copies of an
+article stand on neighbouring pages, and a page must keep its article whole.
 """
 
 from __future__ import annotations
@@ -44,7 +53,16 @@ MARKS = set(
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ARTICLE_MARKS = set("article article-body articlebody post-content entry-content main-content story story-body post-body".split())
 
-NEUTRAL, ARTICLE, MAIN = 0, 1, 2
+#: Words that go with a furniture word in one class without making it something else (site-header, cookie-notice-box).
+LAYOUT = set(
+    "site page global main top bottom left right inner outer box bar bars block container wrapper wrap area section panel list lists item items link links button buttons icon icons bg row col column content body text title heading wide mobile desktop fixed sticky"
+    " user reader readers post posts article articles blog primary secondary sub sec js is has the my c l u a b x 1 2 3 4 5 6 7 8 9".split()
+)
+
+#: What is known of a line's place; LOOSE: its block is no paragraph or heading; HINT: its class hints at furniture.
+NEUTRAL, ARTICLE, MAIN, LOOSE, HINT = 0, 1, 2, 4, 8
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt address summary".split())
+_LOW = {i: i + 32 for i in range(65, 91)}
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -52,8 +70,8 @@ def lines(page: str) -> list[tuple[int, str]]:
     found: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, furniture, place
-    skipped, inside = 0, [0, 0, 0]
-    low = page.lower()
+    skipped, inside = 0, {NEUTRAL: 0, ARTICLE: 0, MAIN: 0, HINT: 0}
+    low = page.translate(_LOW)  # as long as the page, unlike lower()
     at = 0
 
     def close_block() -> None:
@@ -61,7 +79,9 @@ def lines(page: str) -> list[tuple[int, str]]:
             text = re.sub(r"\s+", " ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                found.append((ARTICLE if inside[ARTICLE] else MAIN if inside[MAIN] else NEUTRAL, text))
+                place = ARTICLE if inside[ARTICLE] else MAIN if inside[MAIN] else NEUTRAL
+                block = next((name for name, _, _ in reversed(stack) if name not in INLINE), "")
+                found.append((place + (LOOSE if place == ARTICLE and block not in PARAGRAPHS else 0) + (HINT if inside[HINT] else 0), text))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -127,7 +147,7 @@ def lines(page: str) -> list[tuple[int, str]]:
 
 def _kind(name: str, attributes: str) -> tuple[bool, int]:
     """(furniture, place) of an element."""
-    furniture, article = name in FURNITURE, {"article": ARTICLE, "main": MAIN}.get(name, NEUTRAL)
+    furniture, article, hint = name in FURNITURE, {"article": ARTICLE, "main": MAIN}.get(name, NEUTRAL), False
     if attributes and name not in ("html", "body"):
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
@@ -136,17 +156,29 @@ def _kind(name: str, attributes: str) -> tuple[bool, int]:
                 furniture = True
             elif key in ("class", "id"):
                 words = value.split()
-                known = {w for x in words for w in (x, *re.split(r"[-_]+", x))}
-                if not article and known & MARKS and not (known & ARTICLE_MARKS):
+                marks = [_marked(x) for x in words]
+                if not article and True in marks and not set(words) & ARTICLE_MARKS:
                     furniture = True
-                elif article and known & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
+                elif article and {w for x in words for w in (x, *re.split(r"[-_]+", x))} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
                     furniture = True
+                elif not article and None in marks and not set(words) & ARTICLE_MARKS:
+                    hint = True
                 elif set(words) & ARTICLE_MARKS:
                     article = ARTICLE if article == ARTICLE or set(words) & (ARTICLE_MARKS - {"main-content"}) else MAIN
             elif key == "role":
                 furniture = furniture or value in ROLES
-                article = ARTICLE if value == "article" else article or (MAIN if value == "main" else NEUTRAL)
-    return furniture, article
+                article = ARTICLE if value == "article" else MAIN if value == "main" and article != ARTICLE else article
+    return furniture, article or (HINT if hint else NEUTRAL)
+
+
+def _marked(word: str) -> bool | None:
+    """Whether a class is furniture: True, False, or None where a furniture word is only a part of another name."""
+    if word in MARKS:
+        return True
+    parts = set(re.split(r"[-_]+", word))
+    if not parts & MARKS:
+        return False
+    return True if parts <= MARKS | LAYOUT else None
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -156,31 +188,44 @@ def split_url(url: str) -> tuple[str, str]:
 
 
 def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places in ``mine`` of a longest common subsequence with ``other``."""
-    if not mine or not other:
-        return []
-    a = 0
-    while a < min(len(mine), len(other)) and mine[a] == other[a]:
-        a += 1
-    z = 0
-    while z < min(len(mine), len(other)) - a and mine[-1 - z] == other[-1 - z]:
-        z += 1
-    x, y = mine[a : len(mine) - z], other[a : len(other) - z]
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    b = np.array(y, np.int64)
-    for i in range(len(x) - 1, -1, -1):
-        row = np.where(b == x[i], np.append(table[i + 1, 1:], 0)[: len(y)] + 1, table[i + 1, : len(y)])
-        table[i, : len(y)] = np.maximum.accumulate(row[::-1])[::-1]
-    found, i, j = list(range(a)), 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            found.append(a + i)
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found + list(range(len(mine) - z, len(mine)))
+    """Places in ``mine`` of a longest common subsequence with ``other``, in linear memory."""
+    theirs, own = set(other), set(mine)
+    x = [i for i, h in enumerate(mine) if h in theirs]  # no other line can be shared
+    y = [h for h in other if h in own]
+    found: list[int] = []
+    _align(np.array([mine[i] for i in x], np.int64), np.array(y, np.int64), 0, found)
+    return [x[i] for i in found]
+
+
+def _align(a: np.ndarray, b: np.ndarray, at: int, found: list[int]) -> None:
+    """Hirschberg's division: appends the places of a (counted from ``at``) that a longest common subsequence takes."""
+    n = min(len(a), len(b))
+    equal = a[:n] == b[:n]
+    head = n if equal.all() else int(equal.argmin())
+    found += range(at, at + head)
+    a, b, at = a[head:], b[head:], at + head
+    n = min(len(a), len(b))
+    equal = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    tail = n if equal.all() else int(equal.argmin())
+    last = range(at + len(a) - tail, at + len(a))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if len(a) == 1:
+        found += [at] if (b == a[0]).any() else []
+    elif len(a) and len(b):
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        _align(a[:half], b[:cut], at, found)
+        _align(a[half:], b[cut:], at + half, found)
+    found += last
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a with b[:j], for every j."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0))
+        np.maximum.accumulate(row, out=row)
+    return row
 
 
 def at_edges(shared: list[int], places: list[int]) -> list[int]:
@@ -190,7 +235,35 @@ def at_edges(shared: list[int], places: list[int]) -> list[int]:
     return places[: own[0]] + places[own[-1] + 1 :] if own else []
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("settled", pa.bool_()), ("blocks", pa.list_(pa.string())), ("main", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+def deleted(places: list[int], lines_at: list[int], shared: list[int]) -> list[int]:
+    """Which of a page's chosen blocks go, by the rules above: ``places`` and positions of the blocks, positions of shared lines."""
+    common = set(shared)
+    of_block = [i for i, at in enumerate(lines_at) if at in common]
+    if not of_block:
+        return []
+    hints = [i for i in of_block if places[i] & HINT]
+    if any(p & ARTICLE for p in places):
+        edges = at_edges(of_block, list(range(len(places)))) if 2 * len(of_block) < len(places) else []
+        return sorted({*hints, *_outer(edges, places)})
+    if places[0] & MAIN:
+        return sorted({*hints, *at_edges(of_block, list(range(len(places))))})
+    return of_block
+
+
+def _outer(edges: list[int], places: list[int]) -> list[int]:
+    """Of shared blocks at the edges, those up to the first paragraph or heading from either end."""
+    n, a, z = len(places), 0, 0
+    known = set(edges)
+    while a < n and a in known and (places[a] & LOOSE or not places[a] & ARTICLE):
+        a += 1
+    while z < n - a and n - 1 - z in known and (places[n - 1 - z] & LOOSE or not places[n - 1 - z] & ARTICLE):
+        z += 1
+    return [*range(a), *range(n - z, n)]
+
+
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("blocks", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("lines_at", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+#: Deletions are broadcast if they are so many numbers at most; else they are joined by shuffle.
+BROADCAST_NUMBERS = 200_000
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,73 +273,74 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 found = lines(page or "")
-                article = [t for place, t in found if place != NEUTRAL] if any(place == ARTICLE for place, _ in found) else []
-                main = [] if article else [i for i, (place, _) in enumerate(found) if place == MAIN]
+                known = 0
+                for place, _ in found:
+                    known |= place
+                # Article and main part if there are any, else all lines.
+                want = known & (ARTICLE | MAIN)
+                chosen = [i for i, (place, _) in enumerate(found) if not want or place & want]
                 host, path = split_url(url or "")
-                rows.append((page_id, url, host, path, bool(article), article or [t for _, t in found], main, [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found]))
+                hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found]
+                rows.append((page_id, url, host, path, [found[i][1] for i in chosen], [found[i][0] for i in chosen], chosen, hashes))
             columns = list(zip(*rows, strict=True)) or [[]] * len(_PARSED)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARSED, strict=True)], schema=_PARSED)
 
 
+def _common(a: str, b: str) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, blocks to delete) of pages that lose any, from pages with their two neighbours."""
+    for batch in batches:
+        keys, drops = [], []
+        for r in batch.to_pylist():
+            sides = [s for s in (r["before"], r["after"]) if s and s["host"] == r["host"]]
+            if not sides:
+                continue
+            nearest = max(sides, key=lambda s: _common(s["path"] or "", r["path"] or ""))
+            if nearest["hashes"] != r["hashes"]:
+                drop = deleted(r["places"], r["lines_at"], shared_lines(r["hashes"], nearest["hashes"]))
+                if drop:
+                    keys.append(r["key"])
+                    drops.append(drop)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], names=["key", "drop"])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text.
 
     Blocks of text in page order, joined by two line feeds; character references are
     decoded and white space inside a block is one space.  Null and empty html, and
     pages of nothing but furniture, give an empty text.  A null url belongs to the
-    empty host.  A page without article loses the lines that it shares with its nearest
-    page; an only page of a host loses none.  One with a main part keeps that, without the
-    shared lines at its edges, and all of it if all are shared.  Repeated rows are pages of their own,
-    and if they are neighbours without article they differ from nothing, so that equal
-    pages do not erase each other.  Long pages are read whole; other columns are
-    ignored; an empty table gives no rows.
+    empty host.  Every page is compared with its nearest page and loses what the rules
+    above say; an only page of a host loses nothing.  Repeated rows are pages of their
+    own, and if they are neighbours they differ in nothing, so that equal pages do not
+    erase each other.  Long pages are read whole, and markup that is never closed
+    swallows nothing; other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = p.mapInArrow(_parse, "page_id bigint, url string, host string, path string, settled boolean, blocks array<string>, main array<int>, hashes array<bigint>")
+    parsed = p.mapInArrow(_parse, "page_id bigint, url string, host string, path string, blocks array<string>, places array<int>, lines_at array<int>, hashes array<bigint>")
     parsed = tables.written(parsed.withColumn("key", F.monotonically_increasing_id()), "parsed-pages")
-    text = F.array_join("blocks", "\n\n").alias("text")
-    done = parsed.filter("settled").select("page_id", "url", text)
-    unsettled = parsed.filter("not settled")
-    if unsettled.isEmpty():
-        return done
 
     # Neighbours in (host, path) order: by range, so that a large host is many tasks, and across the ranges' edges.
     order = ["host", "path", "page_id", "key"]
-    slim = parsed.select(*order, "settled", "main", "hashes").repartitionByRange(tables.partitions(spark), *order).withColumn("range", F.spark_partition_id())
-    slim = tables.written(slim, "page-order")
-    one = F.struct("host", "path", "hashes")
-    within = Window.partitionBy("range").orderBy(*order)
-    edges = slim.groupBy("range").agg(F.min_by(one, F.struct(*order)).alias("head"), F.max_by(one, F.struct(*order)).alias("tail"))
-    across = Window.orderBy("range")  # one row for each range
-    edges = edges.select("range", F.lag("tail").over(across).alias("left"), F.lead("head").over(across).alias("right"))
-    near = slim.withColumn("before", F.lag(one).over(within)).withColumn("after", F.lead(one).over(within)).filter("not settled").join(F.broadcast(edges), "range")
-    near = near.select("key", "host", "path", "main", "hashes", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
-
-    def common(a: str, b: str) -> int:
-        n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        return n
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, drops = [], []
-            for r in batch.to_pylist():
-                sides = [s for s in (r["before"], r["after"]) if s and s["host"] == r["host"]]
-                drop: list[int] = []
-                if sides:
-                    nearest = max(sides, key=lambda s: common(s["path"] or "", r["path"] or ""))
-                    if nearest["hashes"] != r["hashes"]:
-                        drop = shared_lines(r["hashes"], nearest["hashes"])
-                if r["main"]:
-                    inner = set(r["main"])
-                    drop = at_edges(drop, r["main"]) + [i for i in range(len(r["hashes"])) if i not in inner]
-                keys.append(r["key"])
-                drops.append(drop)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], names=["key", "drop"])
-
-    drops = near.mapInArrow(difference, "key bigint, drop array<int>")
-    kept = F.filter("blocks", lambda _, i: ~F.array_contains("drop", i))
-    open_pages = unsettled.join(drops, "key").select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))
-    return done.unionByName(open_pages)
+    with tables.temporary(spark):
+        slim = parsed.select(*order, "places", "lines_at", "hashes").repartitionByRange(tables.partitions(spark), *order).withColumn("range", F.spark_partition_id())
+        slim = tables.written(slim, "page-order")
+        one = F.struct("host", "path", "hashes")
+        within = Window.partitionBy("range").orderBy(*order)
+        edges = slim.groupBy("range").agg(F.min_by(one, F.struct(*order)).alias("head"), F.max_by(one, F.struct(*order)).alias("tail"))
+        across = Window.orderBy("range")  # one row for each range
+        edges = edges.select("range", F.lag("tail").over(across).alias("left"), F.lead("head").over(across).alias("right"))
+        near = slim.withColumn("before", F.lag(one).over(within)).withColumn("after", F.lead(one).over(within)).join(edges, "range")
+        near = near.select("key", "host", "path", "places", "lines_at", "hashes", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
+        drops = tables.stay(near.mapInArrow(_difference, "key bigint, drop array<int>"), "page-deletions")
+    if (drops.agg(F.sum(F.size("drop") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        drops = F.broadcast(drops)
+    kept = F.when(F.col("drop").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda _, i: ~F.array_contains("drop", i)))
+    return parsed.join(drops, "key", "left").select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))
