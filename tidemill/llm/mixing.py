@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of source s is wanted e = target(s) / size(s) times.  The whole
-part of e is certain: that many copies are allocated at once.  For the rest,
-p = e - floor(e) is the document's inclusion probability, so probabilities differ
-from source to source.  Documents are ranked by random odds over inclusion odds,
-q = (u / (1 - u)) / (p / (1 - p)), and the sample of a source is the prefix of
-this order whose words come nearest to the source's remaining target: its size is
-fixed in words, not only on average.
+Documents of source s are wanted e = target(s) / size(s) times on average.  The whole
+part of e is certain: that many copies are allocated at once.  The rest, p = e - floor(e),
+is drawn with unequal probabilities: longer documents are likelier, as they cost the
+mix fewer cuts for the same words.  With z = size / (size + 256), p_i = p + d * (z_i - z'),
+where z' is the mean of z over the source's words, so that the expected words are exactly
+p * size(s), and d is nine tenths of what keeps every p_i between 0 and 1.  Documents are
+ranked by random odds over inclusion odds, q = (u / (1 - u)) / (p_i / (1 - p_i)), and the
+sample of a source is the prefix of this order whose words come nearest to the source's
+remaining target: its size is fixed in words, not only on average.
 
-DataFrame functions only.  No source is ever sorted as a whole: q is first put into
-bins of equal width of its quantile, words are summed by (source, bin) with
-partial sums before the shuffle, and only the one bin in which the target is
-reached is ordered by document.
+DataFrame functions only.  No source is ever sorted as a whole: q / (1 + q) is first put
+into bins of equal width, words are summed by (source, bin) with partial sums before the
+shuffle, and only the one bin in which the target is reached is ordered by document.
+The cut lies near q = 1, where a bin holds at most about its even share of the rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from . import tables
 #: Bins of the rank order for each source; the ordered bin holds about size / BINS rows.
 BINS = 16_384
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Words at which z is a half; z is counted in whole steps, so that its sums are exact.
+HALF, STEPS = 256, 1024
+#: Part of the widest possible spread of inclusion probabilities.
+SPREAD = 0.9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,7 +71,7 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, .
     return ranked.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), water * F.col("weight"))).alias("target"))
 
 
-def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, with_columns: bool = False) -> DataFrame:
     """Copies of each document in the mix: doc_id, source, size, source_size, target, copies, taken.
 
     size counts the words of the text (null: 0); taken = copies * size.  A null
@@ -73,19 +79,27 @@ def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     documents of a source without words, are taken 0 times.  Rows that repeat a
     doc_id have one random number; among them the order is by size, and equal rows
     are interchangeable.  A null doc_id draws as the word null does.  An empty table
-    gives no rows.  Other columns are ignored.
+    gives no rows.  With ``with_columns`` all columns of documents come first, and a
+    result whose name is among them goes; otherwise other columns are ignored.
     """
-    spark = documents.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = tables.written(documents.select("doc_id", "source", size.alias("size")), "mixing-sizes")
-    by_source = tables.written(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mixing-targets")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    carried = ["row"] if with_columns else []
+    docs = documents.select("doc_id", "source", size.alias("size"), *([row] if with_columns else []))
+    z = F.expr(f"(size * {STEPS}) div (size + {HALF})")
+    docs = tables.written(docs.withColumn("z", z), "mixing-sizes")
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("z") * F.col("size")).alias("zs"))
+    by_source = targets(sums.select("source", "source_size"), share, most, weights).withColumnRenamed("source", "s")
+    by_source = tables.written(by_source.join(sums.select("source", "zs"), F.col("s").eqNullSafe(F.col("source"))).drop("s"), "mixing-targets")
     wanted = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     by_source = by_source.withColumn("whole", F.floor(wanted).cast("long")).withColumn("p", wanted - F.floor(wanted))
+    by_source = by_source.withColumn("mean", F.try_divide(F.col("zs").cast("double"), F.col("source_size") * F.lit(float(STEPS))))
+    by_source = by_source.withColumn("d", F.lit(SPREAD) * F.least(F.try_divide("p", "mean"), F.try_divide(1 - F.col("p"), 1 - F.col("mean")))).drop("zs")
     known = docs.withColumnRenamed("source", "s").join(by_source, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     u = uniform(F.col("doc_id"), seed)
-    # The odds of p are the same throughout a source, so bins of u order as bins of q do.
-    q = (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))
-    known = known.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), q)).withColumn("bin", F.when(F.col("q").isNotNull(), F.floor(u * BINS).cast("int")))
+    p = F.col("p") + F.col("d") * (F.col("z") / F.lit(float(STEPS)) - F.col("mean"))
+    q = (u / (1 - u)) * ((1 - p) / p)
+    known = known.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), q)).withColumn("bin", F.when(F.col("q").isNotNull(), F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")))
     rest = (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")
     bins = known.filter(F.col("bin").isNotNull()).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first(rest).alias("rest"))
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -107,4 +121,5 @@ def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     outside = known.filter(~F.coalesce(in_edge, F.lit(False))).withColumn("drawn", F.coalesce((F.col("bin") < F.col("edge")), F.col("bin").isNotNull()).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("drawn")).otherwise(F.lit(0)).cast("long")
     both = inside.unionByName(outside).withColumn("copies", copies)
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    both = both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
+    return both.select("row.*", *[c for c in both.columns if c != "row" and c not in documents.columns]) if with_columns else both

@@ -11,11 +11,15 @@ WITH turns AS (
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
   SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\<\[|]', '', 'g')) AS escaped, 2 * length(role) - length(regexp_replace(role, '[\\<\[|]', '', 'g')) AS escaped_role FROM turns
+), formatted AS (
+  SELECT *, escaped + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 11 + escaped_role END AS chars FROM sized
+), placed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - chars AS before FROM formatted
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(escaped + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 11 + escaped_role END) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
-FROM sized GROUP BY conv_id"""
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples, CAST(coalesce(sum(before) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM placed GROUP BY conv_id"""
 
 REPEATS = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
@@ -50,6 +54,8 @@ rounds AS (
 level AS (SELECT *, (total - coalesce(sum(cap) FILTER (filled) OVER (), 0)) / nullif(sum(w) FILTER (NOT filled) OVER (), 0) AS water FROM rounds WHERE r = (SELECT count(*) FROM sources)),
 targets AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE least(cap, water * w) END AS target FROM level),
 wanted AS (SELECT d.doc_id, d.size, t.*, coalesce(target / nullif(source_size, 0), 0) AS e, (('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM docs d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source),
-parts AS (SELECT *, floor(e) AS whole, e - floor(e) AS p FROM wanted),
-ranked AS (SELECT *, target - whole * source_size AS room, sum(CASE WHEN p > 0 THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS after FROM parts)
+parts AS (SELECT *, floor(e) AS whole, e - floor(e) AS p, (size * 1024) // (size + 256) AS z FROM wanted),
+means AS (SELECT *, CAST(sum(z * size) OVER (PARTITION BY source) AS DOUBLE) / nullif(source_size * 1024.0::DOUBLE, 0) AS mean FROM parts),
+odds AS (SELECT *, p + 0.9::DOUBLE * least(p / mean, (1 - p) / (1 - mean)) * (z / 1024.0::DOUBLE - mean) AS pi FROM means),
+ranked AS (SELECT *, target - whole * source_size AS room, sum(CASE WHEN p > 0 THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) * ((1 - pi) / pi) END NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS after FROM odds)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN p > 0 AND after - room <= room - (after - size) THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken FROM ranked"""
