@@ -3,11 +3,17 @@
 A text's letters are lower-cased and cut into words; all 2- to 4-grams of letters
 with word boundaries are hashed into buckets, each bucket has an embedding, and a
 softmax layer reads their average.  Both are trained by stochastic gradient descent
-in numpy on a bounded sample.  Scores are calibrated by a temperature fitted on a
-part of the sample that was not trained on; below a threshold from that same part a
-prediction is marked as rejected.
+in numpy on a bounded sample.
 
-Since the layer is linear, a trained model is a table of class scores by bucket.
+Scores are calibrated by a temperature fitted on a part of the sample that was not
+trained on.  A softmax is sure of itself on noise and foreign languages too, so
+rejection has a measure of its own: the mean logarithm of the frequency that a text's
+grams have in the training texts.  What is usual depends on a text's length, so for
+each of several lengths texts are redrawn from the calibration part, and the threshold
+is the value that a stated share of its right predictions falls below.
+
+Since the layer is linear, a trained model is a table of class scores by bucket, with
+one more column for the frequencies.
 """
 
 from __future__ import annotations
@@ -28,6 +34,10 @@ DIMENSIONS = 16
 #: Labelled documents of each language that a model is fitted on, about.
 ROWS_PER_LANGUAGE = 800
 UNDETERMINED = "und"
+#: Grams of the texts that rejection is calibrated for; a gram overlaps its neighbours, so OVERLAP of them tell as much as one drawn alone.
+LENGTHS, OVERLAP = (6, 12, 24, 48, 96, 192, 384, 768, 1536, 3072), 3
+#: Share of right predictions that may be rejected.
+LOSE = 0.002
 _STEP = np.uint32(0x01000193)
 
 
@@ -65,15 +75,22 @@ class Model:
     table: np.ndarray  # class scores by bucket
     bias: np.ndarray
     temperature: float
-    threshold: float
+    usual: np.ndarray  # logarithm of the frequency, by bucket
+    thresholds: np.ndarray  # least mean of it, for each of LENGTHS
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class scores of each text, its letters)."""
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class scores of each text, its letters, whether it is too unusual for any language known)."""
         buckets, rows, letters = grams(data, offsets)
         n = len(offsets) - 1
-        counts = np.maximum(np.bincount(rows, minlength=n), 1)
+        counts = np.bincount(rows, minlength=n)
+        some = np.maximum(counts, 1)
         sums = np.stack([np.bincount(rows, weights=self.table[buckets, c], minlength=n) for c in range(len(self.languages))], axis=1)
-        return sums / counts[:, None] + self.bias, letters
+        usual = np.bincount(rows, weights=self.usual[buckets], minlength=n) / some
+        return sums / some[:, None] + self.bias, letters, usual < self.least(counts)
+
+    def least(self, counts: np.ndarray) -> np.ndarray:
+        """The threshold for texts of so many grams."""
+        return np.interp(np.log(np.maximum(counts, 1)), np.log(LENGTHS), self.thresholds)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -81,7 +98,29 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(samples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.5, seed: int = 1, lose: float = 0.0005) -> Model:
+def fit_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of least loss, by golden sections of its logarithm.
+
+    Targets are (n + 1) / (n + 2), as if one more text of another class had been seen, so
+    that classes which the sample separates perfectly do not ask for a temperature of 0.
+    """
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + 2) / max(1, k - 1))
+    target[np.arange(n), truth] = (n + 1) / (n + 2)
+
+    def loss(t: float) -> float:
+        z = logits / np.exp(t)
+        z -= z.max(axis=1, keepdims=True)
+        return float(-(target * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum())
+
+    a, b, ratio = -12.0, 12.0, (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        a, b = (a, d) if loss(c) <= loss(d) else (c, b)
+    return float(np.exp((a + b) / 2))
+
+
+def train(samples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.5, seed: int = 1, lose: float = LOSE) -> Model:
     """Fit a model to (language, buckets, counts); ``lose``: share of right predictions that may be rejected."""
     languages = sorted({s[0] for s in samples})
     rng = np.random.default_rng(seed)
@@ -109,20 +148,48 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 5, ra
             # An average passes its gradient on by share; scaled so that frequent grams move at the usual speed.
             embed[buckets] = vectors - (step * len(buckets) * 0.2) * weight[:, None] * back
             done += 1
-    model = Model(languages, (embed @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
-    if calibration and k > 1:
+    model = Model(languages, (embed @ layer).astype(np.float32), bias.astype(np.float64), 1.0, _usual(fit, languages), np.full(len(LENGTHS), -np.inf))
+    if calibration:
         logits = np.array([(c / c.sum()) @ model.table[b] + model.bias for _, b, c in calibration])
         truth = np.array([place[s[0]] for s in calibration])
+        if k > 1:
+            model.temperature = fit_temperature(logits, truth)
+        right = [s for s, good in zip(calibration, logits.argmax(axis=1) == truth, strict=True) if good]
+        model.thresholds = _thresholds(right, model.usual, lose, rng)
+    return model
 
-        def loss(t: float) -> float:
-            model.temperature = t
-            return -np.log(np.maximum(model.probabilities(logits)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-        model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-        p = model.probabilities(logits)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-        model.threshold = float(min(0.5, right[int(lose * len(right))])) if len(right) else 0.0
-    return model
+def _usual(samples: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str]) -> np.ndarray:
+    """Logarithm of each bucket's frequency, languages counting alike and a bucket never seen as half a time."""
+    total = np.zeros(1 << BUCKET_BITS)
+    for language in languages:
+        counts = np.zeros(1 << BUCKET_BITS)
+        for own, buckets, n in samples:
+            if own == language:
+                np.add.at(counts, buckets, n)
+        total += (counts + 0.5) / (counts + 0.5).sum()
+    return np.log(total / max(1, len(languages))).astype(np.float32)
+
+
+def _thresholds(samples: list[tuple[str, np.ndarray, np.ndarray]], usual: np.ndarray, lose: float, rng: np.random.Generator, draws: int = 4000) -> np.ndarray:
+    """For each length the mean that a share ``lose`` of texts of it falls below, drawn from the samples that are as long.
+
+    Samples that are shorter tell nothing about a length; where there is none, the next
+    shorter length holds.
+    """
+    found = np.full(len(LENGTHS), -np.inf)
+    for i, length in enumerate(LENGTHS):
+        long = [s for s in samples if s[2].sum() >= length]
+        means = []
+        for n in range(draws if long else 0):
+            _, buckets, counts = long[n % len(long)]
+            drawn = rng.choice(usual[buckets], max(1, length // OVERLAP), p=counts / counts.sum())
+            means.append(drawn.mean())
+        if means:
+            found[i] = np.quantile(means, lose, method="lower")
+        elif i:
+            found[i] = found[i - 1]
+    return found
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +210,7 @@ def fit(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed:
     sample = sampling.bounded(docs.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text"), "lang", rows_per_language, seed, per_label=True)
     # The sample's ids are bounded by rows_per_language for each language, which the counts have shown.
     chosen = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id")
-    got = chosen.select("lang", "doc_id", "text").mapInArrow(_featurise, "lang string, doc_id bigint, buckets array<int>, counts array<int>").toArrow()
+    got = sampling.fitting(chosen.select("lang", "doc_id", "text"), seed).mapInArrow(_featurise, "lang string, doc_id bigint, buckets array<int>, counts array<int>").toArrow()
     columns = [got.column(c).combine_chunks() for c in ("lang", "doc_id", "buckets", "counts")] if got.num_rows else []
     if not columns:
         return None
@@ -168,11 +235,11 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                 n = part.num_rows
                 best, score, rejected = np.full(n, len(names) - 1), np.zeros(n), np.ones(n, bool)
                 if model:
-                    logits, letters = model.logits(data, offsets)
+                    logits, letters, unusual = model.logits(data, offsets)
                     p = model.probabilities(logits)
                     known = letters > 0
                     best[known], score[known] = p.argmax(axis=1)[known], p.max(axis=1)[known]
-                    rejected = ~known | (score < model.threshold)
+                    rejected = ~known | unusual
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
@@ -185,8 +252,7 @@ def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in arrowtext.chunks(batch):
-                logits, letters = model.logits(data, offsets)
-                keep = (letters > 0) & (model.probabilities(logits).max(axis=1) >= model.threshold)
-                yield part.filter(pa.array(keep))
+                _, letters, unusual = model.logits(data, offsets)
+                yield part.filter(pa.array((letters > 0) & ~unusual))
 
     return documents.mapInArrow(run, schema) if model else documents.filter(F.lit(False))

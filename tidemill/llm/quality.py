@@ -120,7 +120,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS, seed: int = 1
     chosen = sampling.bounded(marked, "label", rows, seed, per_label=False).distinct()
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # At most about ``rows`` ids are broadcast.
-    got = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurise, "doc_id bigint, label int, at array<int>, x array<float>").toArrow()
+    got = sampling.fitting(docs.join(F.broadcast(chosen), "doc_id"), seed).mapInArrow(_featurise, "doc_id bigint, label int, at array<int>, x array<float>").toArrow()
     if not got.num_rows:
         return None
     ids, marks, at, x = (got.column(c).combine_chunks() for c in ("doc_id", "label", "at", "x"))
