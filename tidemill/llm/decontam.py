@@ -1,14 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names (capitalised words that do not begin a
-sentence) and units (unit words after a number) are replaced by typed placeholders,
-other words are lower-cased.  Windows of five template words of every document are
-hash-joined with those of the benchmark.  A document holds an item if at least four
-fifths of the item's windows, repeated ones as often as the item has them, stand close
-together in it and the slots agree: with the item laid along the document in order,
-each word at one place, the words that its placeholders stand for must map to the
-document's words one to one, so that a question with other numbers or names is still found, and a passage
-that only has the same shape is not.
+Texts become templates: numbers, names (capitalised words, at the beginning of a
+sentence too, but for words such as The or What) and units (unit words after a number)
+are replaced by typed placeholders, other words are lower-cased.  Windows of five
+template words of every document are hash-joined with those of the benchmark.  A
+document holds an item if at least four fifths of the item's windows, repeated ones as
+often as the item has them, stand close together in it and the slots agree: with the
+item laid along the document in order, each word at one place, the words that its
+placeholders stand for must map to the document's words one to one, so that a question
+with other numbers or names is still found, and a passage that only has the same shape
+is not.
+
+An item of fewer than five words is a single window and is found in texts that are as
+short, not inside longer ones: its wording alone proves nothing there.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import arrowtext, packing, tables
+from . import arrowtext, tables
 from .arrowtext import U64
 
 WINDOW = 5
@@ -32,11 +37,16 @@ HELD_WINDOWS = 1_000_000
 # Unit words.
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers mg g kg t lb lbs oz gram grams kilogram kilograms tonne tonnes ton tons pound pounds ounce ounces ml l litre litres liter liters gallon gallons s sec min h hr second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts joule joules kb mb gb tb".split()
 
-_KIND = np.zeros(256, np.uint8)  # 0 between words, 1 letter, 2 digit, 3 ends a sentence
+# Words that begin sentences and are no names.
+STARTERS = (
+    "a an the this that these those there here what which who whom whose when where why how if then else so and or but nor for yet in on at by to of from with without within into onto over under after before during while since until between among through about as because although though unless"
+    " he she it they we you i his her its their our your my is are was were be been do does did has have had can could will would shall should may might must not no yes each every all any some both many much more most one two three four five six seven eight nine ten"
+    " find give let given suppose consider calculate compute determine solve show prove explain describe write list name choose select complete continue evaluate assume note also however therefore thus hence finally first second next now later once"
+).split()
+
+_KIND = np.zeros(256, np.uint8)  # 0 between words, 1 letter, 2 digit
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
-_SENTENCE_END = np.zeros(256, np.int32)
-_SENTENCE_END[list(b".!?\n:;\"")] = 1
 _NUMBER, _NAME, _UNIT = U64(11), U64(12), U64(13)
 
 
@@ -46,7 +56,11 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.sort(hashes)
 
 
-_unit_hashes = _hash_words(UNITS)
+_unit_hashes, _starter_hashes = _hash_words(UNITS), _hash_words(STARTERS)
+
+
+def _among(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
 
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,15 +80,11 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     number = kind[starts] == 2
     two = np.where(starts + 1 < len(data), data[np.minimum(starts + 1, len(data) - 1)], 0)
     capital = ((data[starts] >= 65) & (data[starts] <= 90)) | ((data[starts] == 0xC3) & (two >= 0x80) & (two <= 0x9E))
-    stops = np.concatenate([[0], np.cumsum(_SENTENCE_END[data])])
-    begins = np.ones(n, bool)
-    begins[1:] = stops[starts[1:]] > stops[ends[:-1]]
-    begins[first[:-1][first[:-1] < n]] = True
-    name = capital & ~begins & ~number
+    name = capital & ~number & ~_among(_starter_hashes, word)
     after_number = np.zeros(n, bool)
     after_number[1:] = number[:-1]
-    at = np.minimum(np.searchsorted(_unit_hashes, word), len(_unit_hashes) - 1)
-    unit = after_number & (_unit_hashes[at] == word)
+    after_number[first[:-1][first[:-1] < n]] = False
+    unit = after_number & _among(_unit_hashes, word)
     return np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, word))), word, first
 
 
@@ -137,14 +147,17 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hash, self.row, self.at = h[order], rows[order], at[order]
         self.need = np.bincount(rows, minlength=len(items))
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hash >> U64(44)).astype(np.int64)] = True
+        # Few windows are looked up at once; for many, a table of the first bits spares most lookups.
+        self.filter = None
+        if len(h) > 4096:
+            self.filter = np.zeros(1 << 20, bool)
+            self.filter[(self.hash >> U64(44)).astype(np.int64)] = True
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
         """(row, item_id, first word, windows found, share, slots) for every item held by a text."""
         template, word, first = templates(data, offsets)
         h, rows, at = windows(template, first)
-        maybe = np.flatnonzero(self.filter[(h >> U64(44)).astype(np.int64)])
+        maybe = np.arange(len(h)) if self.filter is None else np.flatnonzero(self.filter[(h >> U64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k in np.flatnonzero(hi > lo):
@@ -230,21 +243,22 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, held: int = HELD_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, first_word, windows, share, slots) for each item that a document holds.
+    """(doc_id, item_id, first_word, windows, share, slots) for each item that a document holds, in no order.
 
     A null or empty text on either side matches nothing, and neither does a null
     item_id.  A null doc_id is reported as null.  Repeated rows, and items with equal
-    texts, are reported each.  Long texts are read whole; other columns are ignored;
-    an empty table on either side gives no rows.  A benchmark of up to ``held`` windows
-    is held in every worker, a larger one is joined by shuffle, with the same result.
+    texts, are reported each.  Of several places that hold an item the one with most
+    windows counts, the first of equal ones.  Long texts are read whole; other columns
+    are ignored; an empty table on either side gives no rows.  A benchmark of up to
+    ``held`` windows is held in every worker, a larger one is joined by shuffle, with the
+    same result.
     """
     items = _items(benchmark)
-    # No text has more windows than characters, so this bounds what is collected.
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if size > 4 * held:
-        return _by_shuffle(docs, items)
-    index = Index([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])
+    if _large(items, held):
+        rows = tables.written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed-documents")
+        return _by_shuffle(rows.select("key", "text"), items).join(rows.select("key", "doc_id"), "key").select(*_FOUND.names)
+    index = _index(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,55 +268,92 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, held: int = HELD_WI
     return docs.mapInArrow(run, _FOUND_DDL)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: windows meet by hash, then candidate pairs of texts are compared."""
-    spark = docs.sparkSession
-    groups = tables.partitions(spark)
-    schema = pa.schema([("grp", pa.int32()), *packing.ARROW])
-
-    def spread(key: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offsets in arrowtext.chunks(batch):
-                    template, _, first = templates(data, offsets)
-                    h, rows, at = windows(template, first)
-                    ids = part.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
-                    cells = [(g, *packing.pack_entries(ids[rows[i]], np.zeros(len(i), U64), at[i], h[i])) for g, i in packing.split((h % U64(groups)).astype(np.int64), groups)]
-                    columns = list(zip(*cells, strict=True)) or [[]] * len(schema)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        return run
-
-    ddl = f"grp int, {packing.SCHEMA}"
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, _, _, h = packing.unpack_entries(left, U64)
-        item, _, _, k = packing.unpack_entries(right, U64)
-        order = np.argsort(k, kind="stable")
-        k, item = k[order], item[order]
-        lo, n = np.searchsorted(k, h, "left"), np.searchsorted(k, h, "right")
-        n -= lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs, counts = np.unique(np.stack([np.repeat(doc, n), item[which]]), axis=1, return_counts=True)
-        return pa.table({"doc_id": pairs[0], "item_id": pairs[1], "n": counts})
-
-    usable = docs.filter("doc_id is not null and text is not null")
-    left = usable.mapInArrow(spread("doc_id"), ddl).groupBy("grp")
-    right = items.mapInArrow(spread("item_id"), ddl).groupBy("grp")
-    pairs = left.cogroup(right).applyInArrow(meet, "doc_id bigint, item_id bigint, n bigint").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"))
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, held: int = HELD_WINDOWS) -> DataFrame:
+    """The rows of documents, all columns, whose text holds no item; each row is judged by its own text."""
+    items = _items(benchmark)
+    if _large(items, held):
+        row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+        rows = tables.written(documents.select(row, F.monotonically_increasing_id().alias("key")), "keyed-documents")
+        found = _by_shuffle(rows.select("key", F.col("row.text").cast("string").alias("text")), items)
+        return rows.join(found.select("key").distinct(), "key", "left_anti").select("row.*")
+    index = _index(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([int(Index([(0, t)]).need[0]) for t in texts], pa.int64())], names=["item_id", "item", "need"])
+            for part, data, offsets in arrowtext.chunks(batch):
+                clean = np.ones(part.num_rows, bool)
+                clean[[f[0] for f in index.find(data, offsets)]] = False
+                yield part.filter(pa.array(clean))
 
-    texts = items.mapInArrow(needs, "item_id bigint, item string, need bigint")
-    pairs = tables.written(pairs.join(texts.select("item_id", "need"), "item_id").filter(F.col("n") >= SHARE * F.col("need")).select("doc_id", "item_id").distinct(), "leak-candidates")
+    return documents.mapInArrow(run, documents.schema)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _large(items: DataFrame, held: int) -> bool:
+    """Whether the benchmark may have more windows than a worker holds; no text has more than characters, four bytes each."""
+    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) > 4 * held
+
+
+def _index(items: DataFrame) -> Index:
+    return Index([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])
+
+
+#: Bits of a window's hash that documents are filtered by before windows are shuffled: a bitmap of 2 MB.
+_BITS = 24
+
+
+def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for a benchmark of any size, with the key of a row of ``rows`` (key, text) for its doc_id.
+
+    A document that holds an item lacks at most a fifth of its windows, so it has one of
+    any choice that makes up more than a fifth.  The choice falls on the windows that
+    fewest items have; only these are joined, and candidate pairs of texts are compared.
+    """
+    items = tables.written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    listed = tables.written(items.mapInArrow(_item_windows, "item bigint, h bigint, n bigint, need bigint"), "item-windows")
+    common = listed.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+    rarest = Window.partitionBy("item").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = listed.join(common, "h").withColumn("before", F.sum("n").over(rarest) - F.col("n"))
+    chosen = tables.written(ranked.filter(F.col("before") <= F.floor(F.col("need") * F.lit(1 - SHARE) + F.lit(1e-6))).select("h", "item"), "rare-windows")
+
+    place = F.shiftrightunsigned("h", 64 - _BITS)
+    bits = np.zeros(1 << (_BITS - 3), np.uint8)
+    per_row = 8 * 4096
+    for r in chosen.groupBy(F.floor(place / per_row).alias("part")).agg(F.bitmap_construct_agg(place % per_row).alias("bits")).collect():  # 512 rows at most
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                index = Index([(batch.column("item_id")[i].as_py(), batch.column("item")[i].as_py())])
-                raw = np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8)
-                yield _rows_of([batch.column("doc_id")[i].as_py()], index.find(raw, np.array([0, len(raw)])))
+            for part, data, offsets in arrowtext.chunks(batch):
+                template, _, first = templates(data, offsets)
+                h, rows_, _ = windows(template, first)
+                at = (h >> U64(64 - _BITS)).astype(np.int64)
+                maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                pairs = np.unique(np.stack([rows_[maybe], h[maybe].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(pairs[0], pa.int64())), pa.array(pairs[1], pa.int64())], names=["key", "h"])
+
+    hits = rows.filter("text is not null").mapInArrow(probe, "key bigint, h bigint")
+    pairs = tables.written(hits.join(chosen, "h").select("key", "item").distinct(), "leak-candidates")
 
-    return usable.join(pairs, "doc_id").join(texts.select("item_id", "item"), "item_id").select("doc_id", "item_id", "text", "item").mapInArrow(compare, _FOUND_DDL)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, ids, wanted = (batch.column(c) for c in ("key", "text", "item_id", "wanted"))
+            run = np.concatenate([[0], np.flatnonzero(np.diff(keys.to_numpy())) + 1, [len(keys)]]) if len(keys) else [0]
+            for i, j in zip(run[:-1], run[1:], strict=True):
+                for a in range(i, j, 256):
+                    index = Index(list(zip(ids[a : min(j, a + 256)].to_pylist(), wanted[a : min(j, a + 256)].to_pylist(), strict=True)))
+                    raw = np.frombuffer(texts[a].as_py().encode(), np.uint8)
+                    yield _rows_of([keys[a].as_py()], index.find(raw, np.array([0, len(raw)])))
+
+    both = pairs.join(items.withColumnRenamed("text", "wanted"), "item").join(rows, "key").select("key", "text", "item_id", "wanted").sortWithinPartitions("key")
+    return both.mapInArrow(compare, _FOUND_DDL).withColumnRenamed("doc_id", "key")
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, window, times in it, all windows of the item)."""
+    for batch in batches:
+        for part, data, offsets in arrowtext.chunks(batch):
+            template, _, first = templates(data, offsets)
+            h, rows, _ = windows(template, first)
+            need = np.bincount(rows, minlength=part.num_rows)
+            pairs, n = np.unique(np.stack([rows, h.view(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(pairs[0], pa.int64())), pa.array(pairs[1], pa.int64()), pa.array(n, pa.int64()), pa.array(need[pairs[0]], pa.int64())], names=["item", "h", "n", "need"])
