@@ -56,7 +56,7 @@ def test_nearest(spark, sf):
 
 def test_clusters_are_searched(spark, monkeypatch):
     """Many lists, with a hot vector, unequal lengths and all kinds of rows that take no part."""
-    monkeypatch.setattr(ann, "ROWS_PER_CENTROID", 40)
+    monkeypatch.setattr(ann, "ROWS_PER_LIST", 40)
     monkeypatch.setattr(ann, "PART", 100)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8)) * 3
