@@ -27,19 +27,19 @@ def test_customers(ctx):
     assert c["C3"]["avg_order_gap_days"] == 8.0  # one date only: the mean of the others
     assert (c["C4"]["rfm_segment"], c["C4"]["churn_risk"], c["C4"]["churn_ratio"], c["C4"]["r_score"], c["C4"]["avg_order_gap_days"]) == ("no_orders", "none", None, None, 8.0)
     # C2 and C4 share the partition without valid orders; the null recency of C4 comes last.
-    scored = {r["customer_id"]: r for r in gold.customer_base(ctx).select("customer_id", (6 - gold._quintile(F.col("recency_days").asc_nulls_last())).alias("r")).collect()}
+    scored = {r["customer_id"]: r for r in gold.quintiles(gold.customer_base(ctx)).selectExpr("customer_id", "6 - r as r").collect()}
     assert scored["C2"]["r"] == 5 and scored["C4"]["r"] == 4
 
 
 def test_churn_edges(spark):
-    df = spark.createDataFrame([(1.4999, 1), (1.5, 1), (2.4999, 1), (2.5, 1), (None, 0)], "x double, n int")
-    assert [r[0] for r in df.select(gold.churn_risk(F.col("x"), F.col("n"))).collect()] == ["low", "medium", "medium", "high", "none"]
+    df = spark.createDataFrame([(1.4999, 1), (1.5, 1), (2.4999, 1), (2.5, 1), (None, 0)], "churn double, total_orders int")
+    assert [r[0] for r in df.select(F.expr(gold.ladder(gold.RISK_RULES, gold.RISK_ELSE))).collect()] == ["low", "medium", "medium", "high", "none"]
 
 
 def test_segments(spark):
     cases = [(5, 4, "champion"), (5, 5, "champion"), (3, 4, "loyal"), (4, 1, "new_or_returning"), (2, 2, "lost"), (2, 4, "hibernating"), (3, 3, "potential_loyalist"), (3, 2, "needs_attention")]
-    df = spark.createDataFrame([(r, f, 1) for r, f, _ in cases], "r int, f int, n int")
-    assert [x[0] for x in df.select(gold.segment(F.col("r"), F.col("f"), F.col("n"))).collect()] == [c[2] for c in cases]
+    df = spark.createDataFrame([(r, f, 1) for r, f, _ in cases], "r int, f int, total_orders int")
+    assert [x[0] for x in df.select(F.expr(gold.ladder(gold.SEGMENT_RULES, gold.SEGMENT_ELSE))).collect()] == [c[2] for c in cases]
 
 
 def test_refund_month_without_orders_is_left_out(spark):
@@ -70,3 +70,17 @@ def test_filters(ctx):
     assert marts.mart(ctx, "kpi_orders", {"months": ("2024-02-01", "2024-02-01")}).first()["value"] == 4
     with pytest.raises(KeyError):
         marts.mart(ctx, "nothing")
+
+
+def test_quintiles_against_ntile(spark):
+    """The same tiles as one ordered window gives, with ties, nulls, few rows and none."""
+    from pyspark.sql.window import Window
+
+    for n in (0, 1, 3, 7, 203):
+        rows_ = [(f"C{i:04d}", None if i % 11 == 0 else i % 13, 0 if i % 4 == 0 else 1 + i % 3, Decimal(i * 7 % 50)) for i in range(n)]
+        base = spark.createDataFrame(rows_, "customer_id string, recency_days bigint, valid_orders bigint, net_revenue decimal(14,2)").repartition(3)
+        want = base
+        for s, c in gold.SCORED.items():
+            want = want.withColumn(s, F.ntile(5).over(Window.partitionBy(F.col("valid_orders") > 0).orderBy(F.col(c).asc_nulls_last(), "customer_id")).cast("long"))
+        pick = lambda df: sorted(tuple(r) for r in df.select("customer_id", "r", "f", "m").collect())
+        assert pick(gold.quintiles(base)) == pick(want)

@@ -13,7 +13,7 @@ __all__ = ["bucket_revenue", "clean", "day_name", "days_between", "enum", "id_nu
 
 def clean(c: Column | str) -> Column:
     """Text without white space at its ends (all white space, not only blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\v\f\r"))
 
 
 def enum(c: Column | str) -> Column:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +11,10 @@ from pyspark.sql.window import Window
 
 from .. import functions as fn
 from ..operators import relational as ops
-from ..sources import generator, landing
-from ..sources.schemas import STREAMS, TABLES, describe
-from ..sources.versioned import Files, Store
+from ..sources import landing
+from ..sources.schemas import STREAMS, describe
+from ..sources.scratch import scratch
+from ..sources.versioned import Store
 from ..streaming import ingest, monitor, producer
 from . import gold, marts, quality, silver, verify
 from .catalog import ORACLE, QUERIES, add
@@ -168,32 +167,31 @@ _DQ = {
     "dq27_mart_keys": [("gold.revenue_by_channel.key_unique", "n", _twice("g_revenue_by_channel", "month, channel")), ("gold.revenue_by_category.key_unique", "n", _twice("g_revenue_by_category", "month, category"))],
 }
 for _name, _rows in _DQ.items():
-    add(_name, lambda c, f=_name[:4]: quality.probe_values(c, f), _values(*_rows))
+    QUERIES[_name] = lambda spark, sf_dir, f=_name[:4]: quality.probe_values(driver_context(spark, sf_dir, materialise=True), f)
+    ORACLE[_name] = oracle(_values(*_rows))
 
 
 def check_report(c: Context) -> DataFrame:
-    """All checks on the driver's tables, with the period, manifest and stream ends that these tables have."""
+    """All checks on the driver's tables, with the period, manifest and stream ends that these tables have.
+
+    The probes of a family are one job, and tables that several of them read are computed once.
+    """
     period = quality.data_period(c)
-    counts = lambda name: c(name).count()
-    checks = quality.build_checks(period, manifest=lambda t: counts(f"bronze.{t}"), stream_end=lambda t: counts(f"bronze.stream_{t}"))
-    rows = [(s.family, s.key, s.condition, s.blocking, r.passed, r.detail) for s in checks for r in [quality.run_check(c, s)]]
+    counts: dict[str, int] = {}
+
+    def count(name: str) -> int:
+        if name not in counts:
+            counts[name] = c(name).count()
+        return counts[name]
+
+    checks = quality.build_checks(period, manifest=lambda t: count(f"bronze.{t}"), stream_end=lambda t: count(f"bronze.stream_{t}"))
+    rows = [(s.family, s.key, s.condition, s.blocking, r.passed, r.detail) for s, r in quality.run_checks(c, checks)]
     return c.spark.createDataFrame(rows, "family string, check_key string, condition string, blocking boolean, passed boolean, detail string")
 
 
 # --- verifiers -----------------------------------------------------------------------
 add("v02_gmv_across_layers", verify.gmv_across_layers, "SELECT CAST(sum(CAST(line_total AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS raw_gmv, (SELECT CAST(sum(line_total) AS DECIMAL(18,2)) FROM s_fct_order_items) AS silver_gmv FROM m_items WHERE order_id IN (SELECT order_id FROM m_orders) AND product_id IN (SELECT product_id FROM b_products WHERE unit_price > 0)")
-_VERDICT = "check_name string, passed boolean, detail string"
-for _name, _verifier in (("v01_verify_silver", verify.silver), ("v04_verify_gold", verify.gold), ("v06_verify_bronze", verify.bronze), ("v07_verify_serving", verify.serving)):
-    add(_name, lambda c, v=_verifier: c.spark.createDataFrame(v(c), _VERDICT))
-add("v03_money_types", lambda c: c.spark.createDataFrame([verify.money_types(c, t, x) for t, x in (("silver.fct_orders", ["total_amount"]), ("gold.customer_360", ["gross_revenue", "net_revenue"]))], _VERDICT))
-
-
 # --- storage, streams, generator: these work in a scratch folder of the shared place ------
-def scratch(spark: SparkSession) -> str:
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-")
-    return f"{place.rstrip('/')}/scratch/{uuid.uuid4().hex}"
-
-
 def own(name: str) -> Callable[[Callable[[SparkSession, str], DataFrame]], None]:
     def register(query: Callable[[SparkSession, str], DataFrame]) -> None:
         QUERIES[name] = query
@@ -237,11 +235,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["io05_full_refresh"] = "SELECT * FROM nation"
 
 
-@own("io07_round_trip")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(str(r),) for r in landing.round_trip(spark, scratch(spark))], "row string")
-
-
 @own("io12_json_messages")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return producer.to_messages(driver_context(spark, sf_dir)("bronze.payments").select("payment_id", "order_id", "payment_status", "payment_date"))
@@ -250,14 +243,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["io12_json_messages"] = oracle("""SELECT '{"payment_id":"' || payment_id || '","order_id":"' || order_id || '","payment_status":"' || payment_status || '","payment_date":"' || CAST(payment_date AS VARCHAR) || '"}' AS value FROM b_payments""")
 
 
-@own("io15_object_listing")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch(spark)
-    landing.land(spark.read.parquet(f"{sf_dir}/region.parquet"), root, "region")
-    n = landing.list_objects(spark, root).count()
-    return spark.createDataFrame([(n, landing.purge(spark, root), len(Files(spark, root).listing(root)))], "listed int, purged int, left int")
-
-
 @own("io18_time_travel")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, n = Store(spark, scratch(spark)), spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -269,17 +254,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["io18_time_travel"] = "SELECT * FROM nation"
 
 
-@own("io20_expire_versions")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, r = Store(spark, scratch(spark)), spark.read.parquet(f"{sf_dir}/region.parquet")
-    for _i in range(4):
-        store.write("t.region", r)
-    far = 1e12
-    gone = store.expire("t.region", 60, now=far)
-    orphaned = store.remove_orphans("t.region", 60, now=far)
-    return spark.createDataFrame([(len(gone), len(store.versions("t.region")), orphaned["files"], store.read("t.region").count())], "expired int, versions int, orphans int, rows int")
-
-
 def _stream_run(spark: SparkSession, sf_dir: str, name: str, twice: bool = False) -> tuple[DataFrame, list[int]]:
     spec = ingest.stream_specs(scratch(spark))[name]
     producer.ensure_topic(spark, spec)
@@ -293,64 +267,4 @@ for _stream in STREAMS:
     ORACLE[f"st01_ingest_{_stream}"] = oracle(f"SELECT * FROM b_stream_{_stream}")
 
 
-@own("st02_restart_resumes")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, runs = _stream_run(spark, sf_dir, "payments", twice=True)
-    return spark.createDataFrame([(runs[0] == df.count(), runs[1])], "first_took_all boolean, second_took int")
-
-
 add("st10_stream_observer", lambda c: monitor.observed(c("bronze.stream_orders"), "orders"), "SELECT count(*) AS rows, count(DISTINCT order_id) AS distinct_keys, min(order_date) AS first_date, max(order_date) AS last_date FROM b_stream_orders")
-
-
-@own("st11_consumer_lag")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch(spark)
-    spec = ingest.stream_specs(root)["payments"]
-    producer.send(driver_context(spark, sf_dir)("bronze.stream_payments"), spec)
-    before = monitor.lag(spark, spec)
-    ingest.ingest_available(spark, spec)
-    return spark.createDataFrame([(before, monitor.lag(spark, spec), monitor.caught_up(spark, spec))], "lag_before bigint, lag_after bigint, caught_up boolean")
-
-
-@own("st13_event_rate")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(monitor.event_rate([(0.0, 0), (100.0, 50), (160.0, 150)], 200.0),)], "per_minute double")
-
-
-@own("m17_money_stream_summary")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = ingest.stream_specs(scratch(spark))
-    for n in ("orders", "order_items", "payments"):
-        producer.send(driver_context(spark, sf_dir)(f"bronze.stream_{n}"), specs[n])
-        ingest.ingest_available(spark, specs[n])
-    rows = [(s["stream"], s.get("rows"), s.get("end"), s.get("state"), s.get("error")) for s in monitor.summary(spark, [specs[n] for n in ("orders", "order_items", "payments")])]
-    return spark.createDataFrame(rows, "stream string, rows bigint, end_offset bigint, state string, error string")
-
-
-_SMALL = generator.Config(customers=200, products=50, orders=1000, web_events=1000, support_tickets=60)
-for _table in TABLES:
-    QUERIES[f"gen_{_table}"] = lambda spark, sf_dir, t=_table: generator.Generator(spark, _SMALL).table(t)
-
-
-@own("st06_live_events")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generator.Generator(spark, _SMALL)
-    return producer.live_events(spark, g.web_events(), g.customers(), 100)
-
-
-@own("st07_live_orders")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generator.Generator(spark, _SMALL)
-    return producer.live_orders(spark, g.orders(), g.order_items(), g.payments(), g.customers(), g.products(), 50)["orders"]
-
-
-@own("v05_topic_equals_table")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = ingest.stream_specs(scratch(spark))["orders"]
-    table = driver_context(spark, sf_dir)("bronze.stream_orders")
-    producer.send(table, spec)
-    values = spark.read.schema("value string").text(spec.source)
-    return spark.createDataFrame([(verify.same_rows(ingest.parsed(values, "orders"), table),)], "same boolean")
-
-
-QUERIES["dq_report"] = lambda spark, sf_dir: check_report(driver_context(spark, sf_dir))

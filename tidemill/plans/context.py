@@ -7,19 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import adapter
+from ..sources.scratch import materialised
 
 
 class Context:
     """Tables by name: ``bronze.x``, ``bronze.stream_x``, ``silver.x``, ``gold.x``.
 
     Tables given at the start are used as they are; others are built from their
-    definitions on first use and then shared.
+    definitions on first use and then shared.  With ``materialise`` a table that is
+    built is written once, as a refresh does, so that many probes of it compute it once.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, fallback: Callable[[str], DataFrame | None] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, fallback: Callable[[str], DataFrame | None] | None = None, materialise: bool = False):
         self.spark = spark
         self.tables = dict(tables or {})
         self.fallback = fallback
+        self.materialise = materialise
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -30,13 +33,15 @@ class Context:
                 if name not in SPECS:
                     raise KeyError(f"no table {name}")
                 found = SPECS[name].transform(self)
+                if self.materialise:
+                    found = materialised(found, name)
             self.tables[name] = found
         return self.tables[name]
 
     __call__ = table
 
 
-def driver_context(spark: SparkSession, sf_dir: str) -> Context:
+def driver_context(spark: SparkSession, sf_dir: str, materialise: bool = False) -> Context:
     """A context whose raw tables are views over the driver's star schema."""
     seen = adapter.shared_frames(spark, sf_dir)
 
@@ -44,4 +49,4 @@ def driver_context(spark: SparkSession, sf_dir: str) -> Context:
         layer, _, table = name.partition(".")
         return adapter.raw_table(spark, sf_dir, f"b_{table}", seen) if layer == "bronze" else None
 
-    return Context(spark, fallback=raw)
+    return Context(spark, fallback=raw, materialise=materialise)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import days_between, money, month_of, per_unit, ratio
 from ..operators.relational import count_where, sum_where, with_scalar
+from ..sources.scratch import materialised
 from .context import Context
 
 
@@ -64,39 +65,69 @@ def customer_base(ctx: Context) -> DataFrame:
     )
 
 
-def _quintile(order: Column) -> Column:
-    w = Window.partitionBy(F.col("valid_orders") > 0).orderBy(order, "customer_id")
-    return F.ntile(5).over(w).cast("long")
+SCORED = {"r": "recency_days", "f": "valid_orders", "m": "net_revenue"}
 
 
-def segment(r: Column, f: Column, orders: Column) -> Column:
-    return (
-        F.when(orders == 0, "no_orders")
-        .when((r == 5) & (f >= 4), "champion")
-        .when((f >= 4) & (r >= 3), "loyal")
-        .when(r >= 4, "new_or_returning")
-        .when((r <= 2) & (f <= 2), "lost")
-        .when(r <= 2, "hibernating")
-        .when(f >= 3, "potential_loyalist")
-        .otherwise("needs_attention")
-    )
+def quintiles(base: DataFrame) -> DataFrame:
+    """(customer_id, r, f, m): ntile(5) of customers with and of those without valid orders, by each of three measures.
 
+    Ties go by customer_id and nulls last.  No task sees a whole order: rows are dealt
+    out by range, ranked within their range, and the rows of the ranges before are added.
+    """
+    keys = ["score", "ever", "missing", "value", "customer_id"]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(c).cast("decimal(20,2)").alias("value")) for s, c in SCORED.items()])).alias("x")
+    rows = base.select("customer_id", (F.col("valid_orders") > 0).alias("ever"), each).select("customer_id", "ever", "x.*").withColumn("missing", F.col("value").isNull())
+    spark = base.sparkSession
+    # Written, since ranges are drawn anew whenever they are computed.
+    dealt = materialised(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("range", F.spark_partition_id()), "score-ranges")
+    groups = dealt.groupBy("score", "ever", "range").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("score", "ever")
+    groups = groups.select("score", "ever", "range", F.sum("n").over(w).alias("total"), (F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    # At most two rows of counts for each range and score.
+    placed = dealt.join(F.broadcast(groups), ["score", "ever", "range"])
+    at = placed.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range", "score", "ever").orderBy("missing", "value", "customer_id")) - 1)
+    tiled = at.select("customer_id", "score", ntile_of(F.col("at"), F.col("total"), 5).alias("tile"))
+    return tiled.groupBy("customer_id").agg(*[F.max(F.when(F.col("score") == s, F.col("tile"))).alias(s) for s in SCORED])
 
-def churn_risk(ratio_: Column, orders: Column) -> Column:
-    return F.when(orders == 0, "none").when(ratio_ < 1.5, "low").when(ratio_ < 2.5, "medium").otherwise("high")
+
+def ntile_of(at: Column, rows: Column, tiles: int) -> Column:
+    """The tile of the row at a place (from 0) of an order: the first ``rows mod tiles`` tiles hold one row more."""
+    size, longer = F.floor(rows / tiles), rows % tiles
+    in_longer = F.floor(at / (size + 1)) + 1
+    return F.when(at < longer * (size + 1), in_longer).otherwise(longer + F.floor((at - longer * (size + 1)) / F.greatest(size, F.lit(1))) + 1).cast("long")
+
+
+# The segments and the risks, first match wins; the same texts define them in SQL.
+SEGMENT_RULES = (
+    ("total_orders = 0", "no_orders"),
+    ("r = 5 AND f >= 4", "champion"),
+    ("f >= 4 AND r >= 3", "loyal"),
+    ("r >= 4", "new_or_returning"),
+    ("r <= 2 AND f <= 2", "lost"),
+    ("r <= 2", "hibernating"),
+    ("f >= 3", "potential_loyalist"),
+)
+SEGMENT_ELSE = "needs_attention"
+RISK_RULES = (("total_orders = 0", "none"), ("churn < 1.5", "low"), ("churn < 2.5", "medium"))
+RISK_ELSE = "high"
+
+
+def ladder(rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
+    """A CASE expression of rules."""
+    return "CASE " + " ".join(f"WHEN {when} THEN '{label}'" for when, label in rules) + f" ELSE '{otherwise}' END"
 
 
 def customer_360(ctx: Context) -> DataFrame:
-    b = customer_base(ctx)
-    b = b.withColumns({"r": 6 - _quintile(F.col("recency_days").asc_nulls_last()), "f": _quintile(F.col("valid_orders").asc_nulls_last()), "m": _quintile(F.col("net_revenue").asc_nulls_last())})
-    orders = F.col("total_orders")
-    ever = orders > 0
-    churn = F.when(ever, F.try_divide(F.col("recency_days").cast("double"), F.col("gap")))
+    base = materialised(customer_base(ctx), "customer-base")  # read by the ranks and by the table
+    scores = quintiles(base).withColumn("r", 6 - F.col("r"))
+    b = base.join(scores, "customer_id")
+    ever = F.col("total_orders") > 0
+    b = b.withColumn("churn", F.when(ever, F.try_divide(F.col("recency_days").cast("double"), F.col("gap"))))
     return b.select(
         "customer_id", "first_name", "last_name", "email", "country", "city", "marketing_channel", "age", "signup_date", "total_orders", "completed_orders", "returned_orders", "cancelled_orders",
         "first_order_date", "last_order_date", "gross_revenue", "total_refunded", "net_revenue", per_unit(F.col("gross_revenue"), F.col("valid_orders")).alias("aov"), "items_purchased", "recency_days",
-        F.col("valid_orders").alias("frequency"), F.col("net_revenue").alias("monetary"), *[F.when(ever, F.col(x)).alias(f"{x}_score") for x in "rfm"], segment(F.col("r"), F.col("f"), orders).alias("rfm_segment"),
-        F.round("gap", 6).alias("avg_order_gap_days"), F.round(churn, 6).alias("churn_ratio"), churn_risk(churn, orders).alias("churn_risk"), "total_tickets", "open_tickets", "total_web_events", "cart_adds", "last_event_date",
+        F.col("valid_orders").alias("frequency"), F.col("net_revenue").alias("monetary"), *[F.when(ever, F.col(x)).alias(f"{x}_score") for x in "rfm"], F.expr(ladder(SEGMENT_RULES, SEGMENT_ELSE)).alias("rfm_segment"),
+        F.round("gap", 6).alias("avg_order_gap_days"), F.round("churn", 6).alias("churn_ratio"), F.expr(ladder(RISK_RULES, RISK_ELSE)).alias("churn_risk"), "total_tickets", "open_tickets", "total_web_events", "cart_adds", "last_event_date",
     )
 
 

@@ -1,10 +1,14 @@
-"""The same tables in plain SQL, written apart from the transformations, to compare results with."""
+"""The same tables in plain SQL, written apart from the transformations, to compare results with.
+
+The rules of segments and risks are fixed values; both sides read the one list of them.
+"""
 
 from __future__ import annotations
 
 import re
 
 from ..sources import adapter
+from . import gold
 
 _T = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
@@ -45,7 +49,7 @@ CTES |= {
     "s_dim_customers": f"""SELECT customer_id, {_t('first_name')} AS first_name, {_t('last_name')} AS last_name, {_lt('email')} AS email, signup_date, {_t('country')} AS country, {_t('city')} AS city, {_lt('marketing_channel')} AS marketing_channel, age
 FROM b_customers QUALIFY row_number() OVER (PARTITION BY {_lt('email')} ORDER BY signup_date, customer_id) = 1""",
     "s_dim_products": f"SELECT product_id, {_t('product_name')} AS product_name, {_t('category')} AS category, {_t('brand')} AS brand, CAST(unit_price AS DECIMAL(12,2)) AS unit_price FROM b_products WHERE unit_price > 0",
-    "s_dim_order_dates": """SELECT d AS order_date, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(quarter(d) AS INT) AS quarter, CAST(isodow(d) AS BIGINT) AS day_of_week, dayname(d) AS day_of_week_name, month(d) >= 11 AS is_holiday_season
+    "s_dim_order_dates": """SELECT d AS order_date, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(quarter(d) AS INT) AS quarter, CAST(isodow(d) AS BIGINT) AS day_of_week, dayname(d) AS day_of_week_name, month(d) IN (11, 12) AS is_holiday_season
 FROM (SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS d FROM b_orders)""",
     "s_fct_orders": f"""SELECT o.order_id, o.customer_id, o.order_date, {_lt('o.order_status')} AS order_status, {_lt('o.channel')} AS channel, CAST(o.total_amount AS DECIMAL(12,2)) AS total_amount,
   coalesce(i.n, 0) AS item_count, coalesce(i.p, 0) AS distinct_product_count, {_lt('o.order_status')} = 'completed' AS is_completed, {_lt('o.order_status')} = 'returned' AS is_returned, {_lt('o.order_status')} = 'cancelled' AS is_cancelled,
@@ -82,8 +86,8 @@ LEFT JOIN (SELECT customer_id, count(*) AS n, count(*) FILTER (WHERE event_type
   ntile(5) OVER (PARTITION BY valid_orders > 0 ORDER BY net_revenue, customer_id) AS m, CASE WHEN total_orders > 0 THEN recency_days / gap END AS churn FROM x_base""",
     "g_customer_360": f"""SELECT customer_id, first_name, last_name, email, country, city, marketing_channel, age, signup_date, total_orders, completed_orders, returned_orders, cancelled_orders, first_order_date, last_order_date, gross_revenue, total_refunded, net_revenue,
   {_aov('gross_revenue', 'valid_orders')} AS aov, items_purchased, recency_days, valid_orders AS frequency, net_revenue AS monetary, CASE WHEN total_orders > 0 THEN r END AS r_score, CASE WHEN total_orders > 0 THEN f END AS f_score, CASE WHEN total_orders > 0 THEN m END AS m_score,
-  CASE WHEN total_orders = 0 THEN 'no_orders' WHEN r = 5 AND f IN (4, 5) THEN 'champion' WHEN f > 3 AND r > 2 THEN 'loyal' WHEN r > 3 THEN 'new_or_returning' WHEN r < 3 AND f < 3 THEN 'lost' WHEN r < 3 THEN 'hibernating' WHEN f > 2 THEN 'potential_loyalist' ELSE 'needs_attention' END AS rfm_segment,
-  round(gap, 6) AS avg_order_gap_days, round(churn, 6) AS churn_ratio, CASE WHEN total_orders = 0 THEN 'none' WHEN churn < 1.5 THEN 'low' WHEN churn < 2.5 THEN 'medium' ELSE 'high' END AS churn_risk,
+  {gold.ladder(gold.SEGMENT_RULES, gold.SEGMENT_ELSE)} AS rfm_segment,
+  round(gap, 6) AS avg_order_gap_days, round(churn, 6) AS churn_ratio, {gold.ladder(gold.RISK_RULES, gold.RISK_ELSE)} AS churn_risk,
   total_tickets, open_tickets, total_web_events, cart_adds, last_event_date FROM x_scored""",
     "g_revenue_by_channel": f"""SELECT m.month, m.channel, {_figures()}
 FROM (SELECT {_MONTH.format(d='order_date')} AS month, channel, {_COUNTS}, coalesce(sum(total_amount) FILTER (NOT is_cancelled), 0) AS gross FROM s_fct_orders GROUP BY ALL) m

@@ -55,18 +55,21 @@ def item_counts(ctx: Context, raw_item_union: bool = False) -> DataFrame:
     """Items and distinct products of each order.
 
     Items in both sources count once; with ``raw_item_union`` they count as often as they occur.
+    One shuffle by order serves all steps: items fall together, then products, then the order.
     """
     columns = ["order_id", "order_item_id", "product_id"]
-    both = ranked_union(ctx("bronze.order_items").select(*columns), ctx("bronze.stream_order_items").select(*columns))
-    items = F.count(F.lit(1)) if raw_item_union else F.countDistinct("order_item_id")
-    return both.groupBy("order_id").agg(items.alias("item_count"), F.countDistinct("product_id").alias("distinct_products"))
+    both = ranked_union(ctx("bronze.order_items").select(*columns), ctx("bronze.stream_order_items").select(*columns)).repartition("order_id")
+    items = both.groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("src_rank", "product_id")).alias("first"))
+    products = items.groupBy("order_id", F.col("first.product_id").alias("product_id")).agg((F.sum("times") if raw_item_union else F.count(F.lit(1))).alias("n"))
+    return products.groupBy("order_id").agg(F.sum("n").cast("long").alias("item_count"), F.count("product_id").alias("distinct_products"))
 
 
 def fct_orders(ctx: Context, raw_item_union: bool = False) -> DataFrame:
     status = enum("order_status")
     paid = merged_payments(ctx).select("order_id", enum("payment_status").alias("payment_status"))
-    orders = merged_orders(ctx).join(ctx("bronze.customers").select("customer_id"), "customer_id")
-    orders = orders.join(item_counts(ctx, raw_item_union), "order_id", "left").join(paid, "order_id", "left")
+    # By order first, where all three are dealt out alike, and by customer last.
+    orders = merged_orders(ctx).join(item_counts(ctx, raw_item_union), "order_id", "left").join(paid, "order_id", "left")
+    orders = orders.join(ctx("bronze.customers").select("customer_id"), "customer_id")
     p = F.col("payment_status")
     return orders.select(
         "order_id", "customer_id", "order_date", status.alias("order_status"), enum("channel").alias("channel"), money("total_amount").alias("total_amount"),

@@ -6,9 +6,10 @@ comparison start from the same rows.  Names in braces are inputs.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import materialised
+
 INPUTS = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
 
 VIEWS: dict[str, str] = {
@@ -105,8 +106,8 @@ def inputs_of(sql: str) -> list[str]:
     return [n for n in (*INPUTS, *VIEWS) if "{" + n + "}" in sql]
 
 
-#: Views that many others read; they are kept, in memory or on disk, as landed tables would be.
-KEPT = ("b_order_items", "b_orders")
+#: Views that many others read; each is landed once for an application, as raw tables are, and goes with it.
+LANDED = ("b_order_items", "b_orders")
 _seen: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -124,6 +125,6 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataF
         else:
             sql = VIEWS[name]
             seen[name] = spark.sql(sql, **{n: raw_table(spark, sf_dir, n, seen) for n in inputs_of(sql)})
-            if name in KEPT:
-                seen[name] = seen[name].persist(StorageLevel.MEMORY_AND_DISK)
+            if name in LANDED:
+                seen[name] = materialised(seen[name], name)
     return seen[name]

@@ -18,6 +18,7 @@ from ..sources.schemas import STREAM_DATES, STREAMS, schema
 from ..sources.versioned import Files
 
 CHECKPOINT_SECONDS = 10
+CORRUPT = "_corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,32 @@ def messages(spark: SparkSession, spec: StreamSpec, files_per_trigger: int | Non
 
 
 def parsed(values: DataFrame, table: str) -> DataFrame:
-    """Messages as rows of a table; dates are ISO texts and a missing field is null."""
-    row = F.from_json("value", schema(table), {"mode": "PERMISSIVE"})
-    return values.filter(F.length(F.trim("value")) > 0).select(row.alias("r")).select("r.*")
+    """Messages as rows of a table; dates are ISO texts and a missing field is null.  Malformed messages give no row."""
+    return _read(values, table).filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+
+
+def malformed(values: DataFrame, table: str) -> DataFrame:
+    """(value) of the messages that are no object of a table's schema."""
+    return _read(values, table).filter(F.col(f"r.{CORRUPT}").isNotNull()).select("value")
+
+
+def _read(values: DataFrame, table: str) -> DataFrame:
+    row = F.from_json("value", schema(table).add(CORRUPT, "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return values.filter(F.length(F.trim("value")) > 0).select("value", row.alias("r"))
 
 
 def start(spark: SparkSession, spec: StreamSpec, once: bool = False, files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start appending a stream to its table; ``once`` reads what is there and stops."""
-    rows = parsed(messages(spark, spec, files_per_trigger), spec.name)
-    if STREAM_DATES[spec.name]:  # each day's rows go to one task, which writes one file for them
-        rows = rows.repartition(STREAM_DATES[spec.name])
+    """Start appending a stream to its table; ``once`` reads what is there and stops.
+
+    Malformed messages are left out and counted in the metric ``messages`` of each batch.
+    """
+    read = _read(messages(spark, spec, files_per_trigger), spec.name)
+    bad = F.count_if(F.col(f"r.{CORRUPT}").isNotNull()).alias("malformed")
+    read = read.observe("messages", F.count(F.lit(1)).alias("read"), bad)
+    rows = read.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+    if STREAM_DATES[spec.name]:
+        # By ranges of days: a task writes few days, so there are few files, and a batch of one day is split among tasks.
+        rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), STREAM_DATES[spec.name], F.xxhash64(*rows.columns))
     writer = rows.writeStream.format("parquet").outputMode("append").queryName(f"stream_{spec.name}").option("checkpointLocation", spec.checkpoint)
     if STREAM_DATES[spec.name]:
         writer = writer.partitionBy(STREAM_DATES[spec.name])
@@ -73,6 +90,20 @@ def ingest_available(spark: SparkSession, spec: StreamSpec) -> int:
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def rejected(query: StreamingQuery) -> int:
+    """Malformed messages that a query's recent batches left out."""
+    return sum(p.observedMetrics["messages"]["malformed"] for p in query.recentProgress if "messages" in (p.observedMetrics or {}))
+
+
+def register(spark: SparkSession, spec: StreamSpec, database: str) -> str:
+    """Make a stream's table known to the catalog, under its own name; rows that arrive later are seen too."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    name = f"`{database}`.`stream_{spec.name}`"
+    columns = ", ".join(f"`{c}`" for c in schema(spec.name).names)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{spec.table}`")
+    return name
+
+
 def read_table(spark: SparkSession, spec: StreamSpec) -> DataFrame:
     """The rows appended so far; an empty table before the first run."""
     if not Files(spark, spec.table).exists(f"{spec.table}/_spark_metadata"):

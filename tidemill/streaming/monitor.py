@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -15,6 +16,12 @@ from .producer import end_offset
 
 RATE_WINDOW = 120
 RATE_LEAST = 5
+CATCH_UP_SECONDS = 180
+POLL_SECONDS = 5
+
+
+class CatchUpTimeout(RuntimeError):
+    """Streams were still behind at the deadline; the text says which and by how much."""
 
 
 class StreamMissing(RuntimeError):
@@ -45,6 +52,18 @@ def caught_up(spark: SparkSession, spec: StreamSpec, tolerance: int = LAG_TOLERA
     return behind is not None and abs(behind) <= tolerance
 
 
+def await_caught_up(spark: SparkSession, specs: Sequence[StreamSpec], tolerance: int = LAG_TOLERANCE, deadline: float = CATCH_UP_SECONDS, poll: float = POLL_SECONDS, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict[str, int]:
+    """Wait until every stream is within ``tolerance`` messages of its end; the lag of each, or CatchUpTimeout."""
+    until = clock() + deadline
+    while True:
+        behind = {s.name: lag(spark, s) for s in specs}
+        if all(n is not None and abs(n) <= tolerance for n in behind.values()):
+            return behind
+        if clock() >= until:
+            raise CatchUpTimeout(f"still behind after {deadline} seconds: {behind}")
+        sleep(poll)
+
+
 def state(spark: SparkSession, spec: StreamSpec) -> dict[str, Any]:
     """State of a stream's query: running or not, batches, milliseconds of the last one."""
     for q in spark.streams.active:

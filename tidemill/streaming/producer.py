@@ -1,17 +1,21 @@
 """Producers: tables as JSON messages, the whole history or a live tail after it.
 
-A topic is a folder of JSON lines; each drop of files is appended atomically.
+A topic is a Kafka topic, or a folder of JSON lines to which each drop of files is
+appended atomically.  A folder keeps the number of messages of each drop in its log, so
+its end is known without reading it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import id_number, padded_id
 from ..sources.generator import CHANNELS, DEVICES, EVENT_TYPES, PAYMENT_METHODS, choose, uniform
-from ..sources.schemas import STREAMS
+from ..sources.schemas import KEYS, STREAMS
 from ..sources.versioned import Files
 from .ingest import StreamSpec
 
@@ -25,29 +29,60 @@ def to_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"}).alias("value"))
 
 
-def send(df: DataFrame, spec: StreamSpec) -> None:
-    to_messages(df).write.mode("append").text(spec.source)
+LOG = "_log"  # Spark does not read what begins with an underscore
+
+
+def send(df: DataFrame, spec: StreamSpec, in_order_of: str | None = None) -> int:
+    """Append rows to a topic; with ``in_order_of`` in the order of a column. Messages sent.
+
+    The order of a folder is that of its files' names and of the lines in each.
+    """
+    if in_order_of:
+        df = df.repartitionByRange(in_order_of).sortWithinPartitions(in_order_of)
+    seen = Observation(f"sent-{uuid.uuid4().hex}")
+    messages = to_messages(df).observe(seen, F.count(F.lit(1)).alias("n"))
+    if spec.kafka:
+        messages.write.format("kafka").options(**kafka_options(spec), topic=spec.source).save()
+        return seen.get["n"]
+    messages.write.mode("append").text(spec.source)
+    sent = seen.get["n"]
+    files = Files(df.sparkSession, spec.source)
+    files.write_text(f"{spec.source}/{LOG}/{uuid.uuid4().hex}-{sent}", "")
+    return sent
+
+
+def kafka_options(spec: StreamSpec) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": spec.kafka, "kafka.acks": "1", "kafka.linger.ms": "20", "kafka.batch.size": "65536"}
 
 
 def ensure_topic(spark: SparkSession, spec: StreamSpec) -> None:
-    files = Files(spark, spec.source)
-    files.fs.mkdirs(files.path(spec.source))
+    """A folder is made; a Kafka topic is made by its broker when it is first written to."""
+    if not spec.kafka:
+        files = Files(spark, spec.source)
+        files.fs.mkdirs(files.path(spec.source))
 
 
 def reset_topic(spark: SparkSession, spec: StreamSpec) -> None:
+    if spec.kafka:
+        raise ValueError(f"topic {spec.source} is deleted with the tools of its broker, not from here")
     Files(spark, spec.source).remove(spec.source)
     ensure_topic(spark, spec)
 
 
 def end_offset(spark: SparkSession, spec: StreamSpec) -> int | None:
     """Messages in a topic; None if there is no such topic."""
-    if not Files(spark, spec.source).exists(spec.source):
+    if spec.kafka:
+        read = spark.read.format("kafka").option("kafka.bootstrap.servers", spec.kafka).option("subscribe", spec.source).option("startingOffsets", "earliest").option("endingOffsets", "latest").load()
+        ends = read.groupBy("partition").agg((F.max("offset") - F.min("offset") + 1).alias("n"))
+        return ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = Files(spark, spec.source)
+    if not files.exists(spec.source):
         return None
-    return spark.read.schema("value string").text(spec.source).count()
+    return sum(int(name.rsplit("-", 1)[1]) for name in files.names(f"{spec.source}/{LOG}"))
 
 
 def replay(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, StreamSpec], if_empty: bool = False, reset_topics: bool = False) -> dict[str, int]:
-    """Send whole tables; with ``if_empty`` a topic that has messages is left alone. Messages sent, by topic."""
+    """Send whole tables in the order of their keys; with ``if_empty`` a topic that has messages is left alone. Messages sent, by topic."""
     sent = {}
     for name in STREAMS:
         if name not in tables:
@@ -58,8 +93,7 @@ def replay(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, S
         if if_empty and end_offset(spark, specs[name]):
             sent[name] = 0
             continue
-        send(tables[name], specs[name])
-        sent[name] = tables[name].count()
+        sent[name] = send(tables[name], specs[name], KEYS[name])
     return sent
 
 
@@ -67,7 +101,8 @@ def _clock(df: DataFrame, seed: int, salt: str, mean_seconds: float, last: DataF
     """A date for each row of a simulated clock that starts the day after the last date; gaps are exponential."""
     gap = -F.log(uniform(seed, f"{salt}-gap", F.col("i"))) * F.lit(mean_seconds)
     elapsed = F.sum(gap).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.crossJoin(F.broadcast(last)).withColumn("day", F.date_add(F.date_add("last_date", 1), F.floor(elapsed / 86400).cast("int")))
+    clocked = df.crossJoin(F.broadcast(last)).withColumn("arrival", elapsed)
+    return clocked.withColumn("day", F.date_add(F.date_add("last_date", 1), F.floor(F.col("arrival") / 86400).cast("int")))
 
 
 def live_events(spark: SparkSession, events: DataFrame, customers: DataFrame, n: int, seed: int = 42, mean_seconds: float = LIVE_EVENT_SECONDS) -> DataFrame:
@@ -111,6 +146,33 @@ def live_orders(spark: SparkSession, orders: DataFrame, items: DataFrame, paymen
     }
 
 
+def timeline(spark: SparkSession, counts: dict[str, tuple[int, float]], seed: int = 42) -> DataFrame:
+    """(arrival, stream, i): the i-th arrivals of several paced streams on one clock, in seconds, from (number, mean gap) by stream."""
+    out = None
+    for name, (n, mean) in sorted(counts.items()):
+        one = _clock(spark.range(1, n + 1).withColumnRenamed("id", "i"), seed, name, mean, spark.createDataFrame([(None,)], "last_date date"))
+        one = one.select("arrival", F.lit(name).alias("stream"), "i")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def drop_interleaved(live: dict[str, tuple[DataFrame, str, float]], specs: dict[str, StreamSpec], step_seconds: float, seed: int = 42) -> list[dict[str, int]]:
+    """Send several live streams as they would arrive together: a drop for every ``step_seconds`` of the common clock.
+
+    ``live`` has (rows, key, mean gap in seconds) by stream; rows arrive in the order of
+    their keys.  The messages sent, by stream, for each step.
+    """
+    due = {}
+    last = 0
+    for name, (df, key, mean) in live.items():
+        spark = df.sparkSession
+        numbered = df.withColumn("i", F.row_number().over(Window.orderBy(key)).cast("long"))
+        clock = timeline(spark, {name: (df.count(), mean)}, seed).select("i", F.floor(F.col("arrival") / step_seconds).cast("int").alias("step"))
+        due[name] = (numbered.join(clock, "i").drop("i"), key)
+        last = max(last, clock.agg(F.max("step")).first()[0] or 0)
+    return [{name: send(df.filter(F.col("step") == step).drop("step"), specs[name], key) for name, (df, key) in due.items()} for step in range(last + 1)]
+
+
 def drop_in_ticks(df: DataFrame, spec: StreamSpec, key: str, ticks: int) -> None:
     """Send rows in key order as several drops, so that a running query sees them arrive bit by bit."""
     parts = df.withColumn("__tick", F.ntile(ticks).over(Window.orderBy(key)))
