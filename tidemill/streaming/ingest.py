@@ -68,12 +68,13 @@ def start(spark: SparkSession, spec: StreamSpec, once: bool = False, files_per_t
     Malformed messages are left out and counted in the metric ``messages`` of each batch.
     """
     read = _read(messages(spark, spec, files_per_trigger), spec.name)
+    if STREAM_DATES[spec.name]:
+        # By ranges of days: a task writes few days, so there are few files, and a batch of one day is split among tasks.
+        read = read.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(f"r.{STREAM_DATES[spec.name]}"), F.xxhash64("value"))
+    # After the dealing out, since ranges are drawn by reading a first time, which is not to count.
     bad = F.count_if(F.col(f"r.{CORRUPT}").isNotNull()).alias("malformed")
     read = read.observe("messages", F.count(F.lit(1)).alias("read"), bad)
     rows = read.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
-    if STREAM_DATES[spec.name]:
-        # By ranges of days: a task writes few days, so there are few files, and a batch of one day is split among tasks.
-        rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), STREAM_DATES[spec.name], F.xxhash64(*rows.columns))
     writer = rows.writeStream.format("parquet").outputMode("append").queryName(f"stream_{spec.name}").option("checkpointLocation", spec.checkpoint)
     if STREAM_DATES[spec.name]:
         writer = writer.partitionBy(STREAM_DATES[spec.name])
@@ -87,12 +88,16 @@ def ingest_available(spark: SparkSession, spec: StreamSpec) -> int:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return _metric(query, "read")  # a source's own count includes what is read to draw ranges
 
 
 def rejected(query: StreamingQuery) -> int:
     """Malformed messages that a query's recent batches left out."""
-    return sum(p.observedMetrics["messages"]["malformed"] for p in query.recentProgress if "messages" in (p.observedMetrics or {}))
+    return _metric(query, "malformed")
+
+
+def _metric(query: StreamingQuery, name: str) -> int:
+    return sum(p.observedMetrics["messages"][name] for p in query.recentProgress if "messages" in (p.observedMetrics or {}))
 
 
 def register(spark: SparkSession, spec: StreamSpec, database: str) -> str:
