@@ -165,7 +165,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, hundredths: int = 80) -
     itself included, and kept says whether that is the document's own.
 
     Texts that are null, empty or without words have an empty set and are linked with
-    nothing.  Rows that repeat a doc_id count as one document: they share a component.
+    nothing.  Rows that repeat a doc_id count as one document, whether their texts agree
+    or not: they share a component, and each of their texts is compared.
     A null doc_id is linked with nothing; its component is null and it is kept.  Long
     texts are read whole, other columns are ignored, an empty table gives no rows.
     """
@@ -179,6 +180,9 @@ def _near_duplicates(documents: DataFrame, size: int, hundredths: int) -> DataFr
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = tables.written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")
     nodes = sketches.filter("doc_id is not null and n_shingles > 0")
+    fingerprint = F.struct("f1", "f2", "n_shingles")
+    if not nodes.groupBy("doc_id").agg(F.min(fingerprint).alias("low"), F.max(fingerprint).alias("high")).filter("low <> high").isEmpty():
+        return _by_rows(docs, size, hundredths)
 
     # 1. Classes of equal sets; the smallest id stands for the class.
     classes = nodes.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -246,6 +250,19 @@ def _near_duplicates(documents: DataFrame, size: int, hundredths: int) -> DataFr
     return labels.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _by_rows(docs: DataFrame, size: int, hundredths: int) -> DataFrame:
+    """The same where a doc_id stands for unequal texts: rows are compared under keys of their own, and what they link holds for their ids."""
+    rows = tables.written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed-documents")
+    found = _near_duplicates(rows.filter("doc_id is not null").select(F.col("key").alias("doc_id"), "text"), size, hundredths)
+    found = tables.written(found.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("group")).join(rows.select("key", "doc_id"), "key"), "linked-rows")
+    lowest = found.groupBy("group").agg(F.min("doc_id").alias("a"))
+    component = components(found.join(lowest, "group").select("a", F.col("doc_id").alias("b")))
+    known = found.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    known = known.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    without = rows.filter("doc_id is null").select("doc_id", "text").mapInArrow(_sketches(size), _SKETCH)
+    return known.unionByName(without.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
 def _near(na: str, nb: str, bits_a: str, bits_b: str, hundredths: int) -> Column:
     sizes = 100 * F.least(na, nb) >= hundredths * F.greatest(na, nb)
     return sizes & (estimated(F.col(bits_a), F.col(bits_b)) >= F.lit(hundredths / 100 - MARGIN))
