@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemill.plans import catalog, catalog_more  # noqa: F401
+from tidemill.plans import catalog, catalog_more, catalog_ops  # noqa: F401
 
 INPUTS = "region nation customer supplier part orders lineitem events".split()
-CHOSEN = ["s04_fct_orders", "s05_fct_order_items", "g01_customer_360", "g02_revenue_by_channel", "g03_revenue_by_category", "g04_monthly_kpis", "m11_customer_sample_filtered", "m13_filter_options", "s10_pre_stats", "s10_post_stats", "dq16_stream_fk", "dq23_revenue_invariant", "j07_not_exists_or", "a14_stddev", "f18_row_digest"]
+CHOSEN = ["s04_fct_orders", "s05_fct_order_items", "g01_customer_360", "g02_revenue_by_channel", "g03_revenue_by_category", "g04_monthly_kpis", "m11_customer_sample_filtered", "m13_filter_options", "s10_pre_stats", "s10_post_stats", "dq16_stream_fk", "dq23_revenue_invariant", "j07_not_exists_or", "a14_stddev", "f18_row_digest", "s04_raw_item_union", "io08_catalog", "io11_register_stream", "io17_result_cache", "st05_replay", "st08_interleaved", "v04_gold_figures", "dq_report"]
 
 
 def plain(v):
