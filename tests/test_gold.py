@@ -84,3 +84,8 @@ def test_quintiles_against_ntile(spark):
             want = want.withColumn(s, F.ntile(5).over(Window.partitionBy(F.col("valid_orders") > 0).orderBy(F.col(c).asc_nulls_last(), "customer_id")).cast("long"))
         pick = lambda df: sorted(tuple(r) for r in df.select("customer_id", "r", "f", "m").collect())
         assert pick(gold.quintiles(base)) == pick(want)
+
+
+def test_scores_agree_on_both_ways(ctx):
+    pick = lambda df: sorted(tuple(r) for r in df.select("customer_id", "r", "f", "m").collect())
+    assert pick(gold.scored(ctx)) == pick(gold.scored(ctx, ordered_rows=0))

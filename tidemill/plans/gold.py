@@ -117,10 +117,23 @@ def ladder(rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {when} THEN '{label}'" for when, label in rules) + f" ELSE '{otherwise}' END"
 
 
+#: Customers that one task may order; of more the ranks come from ranges, with the same result.
+ORDERED_ROWS = 1_000_000
+
+
+def scored(ctx: Context, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
+    """The customer base with the scores r, f and m."""
+    base = customer_base(ctx)
+    if ctx("bronze.customers").count() > ordered_rows:
+        base = materialised(base, "customer-base")  # read by the ranks and by the table
+        return base.join(quintiles(base).withColumn("r", 6 - F.col("r")), "customer_id")
+    w = Window.partitionBy(F.col("valid_orders") > 0)
+    tiles = {s: F.ntile(5).over(w.orderBy(F.col(c).asc_nulls_last(), "customer_id")).cast("long") for s, c in SCORED.items()}
+    return base.withColumns(tiles | {"r": 6 - tiles["r"]})
+
+
 def customer_360(ctx: Context) -> DataFrame:
-    base = materialised(customer_base(ctx), "customer-base")  # read by the ranks and by the table
-    scores = quintiles(base).withColumn("r", 6 - F.col("r"))
-    b = base.join(scores, "customer_id")
+    b = scored(ctx)
     ever = F.col("total_orders") > 0
     b = b.withColumn("churn", F.when(ever, F.try_divide(F.col("recency_days").cast("double"), F.col("gap"))))
     return b.select(
