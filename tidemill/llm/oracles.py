@@ -59,3 +59,19 @@ means AS (SELECT *, CAST(sum(z * size) OVER (PARTITION BY source) AS DOUBLE) / n
 odds AS (SELECT *, p + 0.9::DOUBLE * least(p / mean, (1 - p) / (1 - mean)) * (z / 1024.0::DOUBLE - mean) AS pi FROM means),
 ranked AS (SELECT *, target - whole * source_size AS room, sum(CASE WHEN p > 0 THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) * ((1 - pi) / pi) END NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS after FROM odds)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN p > 0 AND after - room <= room - (after - size) THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken FROM ranked"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT lang, source, doc_id, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+langs AS (SELECT g.lang, count(k.term) AS v, coalesce(sum(k.lang_n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY g.lang, g.source),
+every AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 1) // (t.n + l.v) AS p, 1 + 1000000000 * (k.lang_n + 1) // (l.n + l.v) AS q FROM groups g JOIN kept k USING (lang) JOIN totals t USING (lang, source) JOIN langs l USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM every WHERE c > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, license, mixing, neardup, oracles, quality, sampling, substrings
+from . import ann, bpe, chat, decontam, divergence, html, langid, license, mixing, neardup, oracles, quality, sampling, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,6 +106,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), least_documents=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
@@ -116,7 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op12_bpe": op12_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 #: SQL for those that it can express.
-ORACLE: dict[str, str] = {"op2_chat": oracles.CHAT, "op5_substrings": oracles.REPEATS, "op7_minhash": oracles.NEAR, "op10_mixing": oracles.MIXING}
+ORACLE: dict[str, str] = {"op2_chat": oracles.CHAT, "op5_substrings": oracles.REPEATS, "op7_minhash": oracles.NEAR, "op10_mixing": oracles.MIXING, "op13_divergence": oracles.DIVERGENCE}
