@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, divergence, html, langid, license, mixing, neardup, oracles, quality, sampling, substrings
+from . import ann, bpe, chat, decontam, divergence, html, langid, license, mixing, neardup, negatives, oracles, quality, sampling, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,6 +106,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = negatives.whole_vectors(_read(spark, sf_dir, "embeddings"), scale=256)
+    moved = whole.withColumn("label", F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")))
+    return negatives.mine(moved, every=100, positives=5, negatives=10, low=30, high=90)
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -125,9 +131,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_negatives": op11_negatives,
     "op12_bpe": op12_bpe,
     "op13_divergence": op13_divergence,
 }
 
 #: SQL for those that it can express.
-ORACLE: dict[str, str] = {"op2_chat": oracles.CHAT, "op5_substrings": oracles.REPEATS, "op7_minhash": oracles.NEAR, "op10_mixing": oracles.MIXING, "op13_divergence": oracles.DIVERGENCE}
+ORACLE: dict[str, str] = {"op2_chat": oracles.CHAT, "op5_substrings": oracles.REPEATS, "op7_minhash": oracles.NEAR, "op10_mixing": oracles.MIXING, "op11_negatives": oracles.NEGATIVES, "op13_divergence": oracles.DIVERGENCE}
