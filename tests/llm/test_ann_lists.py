@@ -77,13 +77,13 @@ def test_recall_and_pruning(spark, clustered):
         s[i] = -np.inf
         hits += len(got[i] & set(np.argpartition(-s, 10)[:10].tolist()))
         assert len(got[i]) == 10
-    assert hits / (500 * 10) >= 0.9
+    assert hits / (500 * 10) >= 0.93
     longest = float(np.sqrt((x * x).sum(axis=1).max()))
     found = ann.Centroids(ann.lifted(x, longest), 20_000 // ann.ROWS_PER_LIST)
     ratio = ann.fit_ratio(ann.lifted(x, longest), np.hstack([x, np.zeros((len(x), 1))]), found, 10)
     row, list_, _ = found.lists(ann.lifted(x, longest))
     sizes, graph = np.bincount(list_, minlength=len(found.c)), ann.Graph(found.c)
-    read = [sizes[graph.search(np.append(x[i], 0), ratio, 8, sizes, 11)].sum() / len(x) for i in range(0, 20_000, 400)]
+    read = [sizes[graph.search(np.append(x[i], 0), ratio, ann.WIDTH, sizes, 11)].sum() / len(x) for i in range(0, 20_000, 400)]
     assert np.mean(read) < (0.25 if clustered else 0.6) and len(row) < 2.5 * len(x)
 
 

@@ -44,6 +44,9 @@ BEAM = 12
 RECALL, TRIALS = 0.94, 250
 #: Nearest lists whose mean distance the ratio refers to; the distance of one alone varies too much.
 NEAREST = 16
+#: Nearest centroids whose links are walked however far they are.  The ratio is measured on all centroids, and with a
+#: narrow walk some within it are never reached.
+WIDTH = 32
 #: A query reads lists that hold this many times as many vectors as are asked for, however far they are.
 AMPLE = 8
 #: Vectors in one part of a list, about.
@@ -285,7 +288,7 @@ def search(embeddings: DataFrame, every: int = 20, top: int = 20, ratio: float |
             x = np.hstack([matrix(batch.column("v")), np.zeros((batch.num_rows, 1))]) if batch.num_rows else np.zeros((0, dims + 1))
             row, group, cuts, slots = [], [], [0], [np.zeros(0, np.int64)]
             for i in range(len(x)):
-                read = graph.search(x[i], ratio, 8, distinct, top + 1)
+                read = graph.search(x[i], ratio, WIDTH, distinct, top + 1)
                 n = parts[read]
                 part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 list_ = np.repeat(read, n)
