@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shop import customer, d, order, rows, shop
 
 from tidemill.functions import bucket_revenue
+from tidemill.operators import selection
 from tidemill.plans import gold, marts
 
 
@@ -27,7 +28,7 @@ def test_customers(ctx):
     assert c["C3"]["avg_order_gap_days"] == 8.0  # one date only: the mean of the others
     assert (c["C4"]["rfm_segment"], c["C4"]["churn_risk"], c["C4"]["churn_ratio"], c["C4"]["r_score"], c["C4"]["avg_order_gap_days"]) == ("no_orders", "none", None, None, 8.0)
     # C2 and C4 share the partition without valid orders; the null recency of C4 comes last.
-    scored = {r["customer_id"]: r for r in gold.quintiles(gold.customer_base(ctx)).selectExpr("customer_id", "6 - r as r").collect()}
+    scored = {r["customer_id"]: r for r in gold.scored(ctx).collect()}
     assert scored["C2"]["r"] == 5 and scored["C4"]["r"] == 4
 
 
@@ -72,8 +73,9 @@ def test_filters(ctx):
         marts.mart(ctx, "nothing")
 
 
-def test_quintiles_against_ntile(spark):
-    """The same tiles as one ordered window gives, with ties, nulls, few rows and none."""
+@pytest.mark.parametrize("limits", [{}, {"numbered": 9, "splitters": 3}])
+def test_quintiles_against_ntile(spark, limits):
+    """The same tiles as one ordered window gives, with ties, nulls, few rows and none; found at once and by dividing intervals."""
     from pyspark.sql.window import Window
 
     for n in (0, 1, 3, 7, 203):
@@ -83,9 +85,23 @@ def test_quintiles_against_ntile(spark):
         for s, c in gold.SCORED.items():
             want = want.withColumn(s, F.ntile(5).over(Window.partitionBy(F.col("valid_orders") > 0).orderBy(F.col(c).asc_nulls_last(), "customer_id")).cast("long"))
         pick = lambda df: sorted(tuple(r) for r in df.select("customer_id", "r", "f", "m").collect())
-        assert pick(gold.quintiles(base)) == pick(want)
-
-
-def test_scores_agree_on_both_ways(ctx):
-    pick = lambda df: sorted(tuple(r) for r in df.select("customer_id", "r", "f", "m").collect())
-    assert pick(gold.scored(ctx)) == pick(gold.scored(ctx, ordered_rows=0))
+        assert pick(base.withColumns(gold.score_tiles(base, **limits))) == pick(want)
+
+
+def test_no_task_orders_customers(ctx):
+    """The plan of the scored customers has no window, and no shuffle for the scores."""
+    plan = gold.scored(ctx)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_keys_at_places(spark):
+    """Order statistics of several groups with a key that most rows of one share, against sorted lists."""
+    values = {"a": [i * 37 % 101 for i in range(400)], "b": [5] * 300 + list(range(40)), "c": [9], "d": [7] * 500 + [1, 9, 3]}
+    rows_ = [(g, v, i) for g, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows_, "g string, k int, id int").repartition(4)
+    places = {("a",): [1, 200, 400], ("b",): [1, 3, 170, 310, 340], ("c",): [1], ("d",): [1, 2, 3, 502, 503]}
+    counts = {(g,): len(vs) for g, vs in values.items()}
+    for limits in ({}, {"numbered": 5, "splitters": 4}):
+        found = selection.keys_at(df, ["g"], "k", places, counts, ["id"], **limits)
+        assert found == {g: {p: sorted(values[g[0]])[p - 1] for p in ps} for g, ps in places.items()}
+    assert selection.keys_at(df, ["g"], "k", {}, {}, ["id"]) == {}

@@ -60,8 +60,8 @@ def padded_id(prefix: str, number: Column, width: int) -> Column:
 
 
 def id_number(c: Column | str) -> Column:
-    """The number that ends an id such as ORD-0000012."""
-    return F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+    """The number that ends an id such as ORD-0000012; null if none does."""
+    return F.regexp_extract(c, r"(\d+)$", 1).try_cast("long")
 
 
 def utc_date(c: Column | str) -> Column:

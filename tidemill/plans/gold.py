@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import days_between, money, month_of, per_unit, ratio
 from ..operators.relational import count_where, sum_where, with_scalar
+from ..operators.selection import tile_columns
 from ..sources.scratch import materialised
 from .context import Context
 
@@ -68,33 +69,13 @@ def customer_base(ctx: Context) -> DataFrame:
 SCORED = {"r": "recency_days", "f": "valid_orders", "m": "net_revenue"}
 
 
-def quintiles(base: DataFrame) -> DataFrame:
-    """(customer_id, r, f, m): ntile(5) of customers with and of those without valid orders, by each of three measures.
+def score_tiles(base: DataFrame, **limits: int) -> dict[str, Column]:
+    """r, f and m as expressions: ntile(5) of customers with and of those without valid orders, by each of three measures.
 
-    Ties go by customer_id and nulls last.  No task sees a whole order: rows are dealt
-    out by range, ranked within their range, and the rows of the ranges before are added.
+    Ties go by customer_id and nulls last.  Only the last keys of the tiles are searched
+    for, so no task sees a whole order and nothing is shuffled for the scores.
     """
-    keys = ["score", "ever", "missing", "value", "customer_id"]
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(c).cast("decimal(20,2)").alias("value")) for s, c in SCORED.items()])).alias("x")
-    rows = base.select("customer_id", (F.col("valid_orders") > 0).alias("ever"), each).select("customer_id", "ever", "x.*").withColumn("missing", F.col("value").isNull())
-    spark = base.sparkSession
-    # Written, since ranges are drawn anew whenever they are computed.
-    dealt = materialised(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("range", F.spark_partition_id()), "score-ranges")
-    groups = dealt.groupBy("score", "ever", "range").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("score", "ever")
-    groups = groups.select("score", "ever", "range", F.sum("n").over(w).alias("total"), (F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-    # At most two rows of counts for each range and score.
-    placed = dealt.join(F.broadcast(groups), ["score", "ever", "range"])
-    at = placed.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range", "score", "ever").orderBy("missing", "value", "customer_id")) - 1)
-    tiled = at.select("customer_id", "score", ntile_of(F.col("at"), F.col("total"), 5).alias("tile"))
-    return tiled.groupBy("customer_id").agg(*[F.max(F.when(F.col("score") == s, F.col("tile"))).alias(s) for s in SCORED])
-
-
-def ntile_of(at: Column, rows: Column, tiles: int) -> Column:
-    """The tile of the row at a place (from 0) of an order: the first ``rows mod tiles`` tiles hold one row more."""
-    size, longer = F.floor(rows / tiles), rows % tiles
-    in_longer = F.floor(at / (size + 1)) + 1
-    return F.when(at < longer * (size + 1), in_longer).otherwise(longer + F.floor((at - longer * (size + 1)) / F.greatest(size, F.lit(1))) + 1).cast("long")
+    return tile_columns(base, 5, F.col("valid_orders") > 0, {s: F.col(c).cast("decimal(20,2)") for s, c in SCORED.items()}, "customer_id", **limits)
 
 
 # The segments and the risks, first match wins; the same texts define them in SQL.
@@ -117,18 +98,10 @@ def ladder(rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {when} THEN '{label}'" for when, label in rules) + f" ELSE '{otherwise}' END"
 
 
-#: Customers that one task may order; of more the ranks come from ranges, with the same result.
-ORDERED_ROWS = 1_000_000
-
-
-def scored(ctx: Context, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
+def scored(ctx: Context, **limits: int) -> DataFrame:
     """The customer base with the scores r, f and m."""
-    base = customer_base(ctx)
-    if ctx("bronze.customers").count() > ordered_rows:
-        base = materialised(base, "customer-base")  # read by the ranks and by the table
-        return base.join(quintiles(base).withColumn("r", 6 - F.col("r")), "customer_id")
-    w = Window.partitionBy(F.col("valid_orders") > 0)
-    tiles = {s: F.ntile(5).over(w.orderBy(F.col(c).asc_nulls_last(), "customer_id")).cast("long") for s, c in SCORED.items()}
+    base = materialised(customer_base(ctx), "customer-base")  # read by the search for tiles and by the table
+    tiles = score_tiles(base, **limits)
     return base.withColumns(tiles | {"r": 6 - tiles["r"]})
 
 

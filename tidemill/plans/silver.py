@@ -58,18 +58,28 @@ def item_counts(ctx: Context, raw_item_union: bool = False) -> DataFrame:
     One shuffle by order serves all steps: items fall together, then products, then the order.
     """
     columns = ["order_id", "order_item_id", "product_id"]
-    both = ranked_union(ctx("bronze.order_items").select(*columns), ctx("bronze.stream_order_items").select(*columns)).repartition("order_id")
+    return count_items(ranked_union(ctx("bronze.order_items").select(*columns), ctx("bronze.stream_order_items").select(*columns)).repartition("order_id"), raw_item_union)
+
+
+def count_items(both: DataFrame, raw_item_union: bool = False) -> DataFrame:
+    """Items and distinct products of each order, of item rows with src_rank that are dealt out by order."""
     items = both.groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("src_rank", "product_id")).alias("first"))
     products = items.groupBy("order_id", F.col("first.product_id").alias("product_id")).agg((F.sum("times") if raw_item_union else F.count(F.lit(1))).alias("n"))
     return products.groupBy("order_id").agg(F.sum("n").cast("long").alias("item_count"), F.count("product_id").alias("distinct_products"))
 
 
 def fct_orders(ctx: Context, raw_item_union: bool = False) -> DataFrame:
+    return orders_fact(merged_orders(ctx), item_counts(ctx, raw_item_union), merged_payments(ctx).select("order_id", "payment_status"), ctx("bronze.customers"))
+
+
+def orders_fact(merged: DataFrame, counts: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders of known customers, with their counts and payment."""
     status = enum("order_status")
-    paid = merged_payments(ctx).select("order_id", enum("payment_status").alias("payment_status"))
+    paid = payments.select("order_id", enum("payment_status").alias("payment_status"))
     # By order first, where all three are dealt out alike, and by customer last.
-    orders = merged_orders(ctx).join(item_counts(ctx, raw_item_union), "order_id", "left").join(paid, "order_id", "left")
-    orders = orders.join(ctx("bronze.customers").select("customer_id"), "customer_id")
+    orders = merged.join(counts, "order_id", "left").join(paid, "order_id", "left")
+    # An inner join with distinct keys: a semi join would be pushed below the joins by order, which are then dealt out anew.
+    orders = orders.join(customers.select("customer_id").distinct(), "customer_id")
     p = F.col("payment_status")
     return orders.select(
         "order_id", "customer_id", "order_date", status.alias("order_status"), enum("channel").alias("channel"), money("total_amount").alias("total_amount"),
@@ -90,9 +100,13 @@ def fct_order_items(ctx: Context) -> DataFrame:
 
 
 def fct_payments(ctx: Context) -> DataFrame:
-    orders = merged_orders(ctx).select("order_id", "customer_id", "total_amount")
+    return payments_fact(merged_payments(ctx), merged_orders(ctx))
+
+
+def payments_fact(payments: DataFrame, merged: DataFrame) -> DataFrame:
+    """Payments of known orders."""
     status = enum("payment_status")
-    return merged_payments(ctx).join(orders, "order_id").select(
+    return payments.join(merged.select("order_id", "customer_id", "total_amount"), "order_id").select(
         "payment_id", "order_id", "customer_id", enum("payment_method").alias("payment_method"), status.alias("payment_status"), "payment_date", money("amount").alias("amount"),
         (status == "succeeded").alias("is_succeeded"), (status == "failed").alias("is_failed"), (status == "pending").alias("is_pending"), (money("amount") != money("total_amount")).alias("amount_mismatch"),
     )
