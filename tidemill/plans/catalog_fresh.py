@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import id_number
+from ..sources.schemas import KEYS
 from ..sources.scratch import scratch
+from ..streaming import ingest, monitor, producer, progress
 from . import gold, incremental
 from .catalog import add
 from .catalog_more import own
@@ -66,3 +70,70 @@ def tile_ends(ctx) -> DataFrame:
 
 _ENDS = {"r": "recency_days", "f": "valid_orders", "m": "net_revenue"}
 add("w03_tile_ends", tile_ends, "\nUNION ALL ".join(f"SELECT '{s}' AS measure, valid_orders > 0 AS ever, {f'6 - {s}' if s == 'r' else s} AS tile, last(customer_id ORDER BY {c} NULLS LAST, customer_id) AS customer_id, count(*) AS customers FROM x_scored GROUP BY valid_orders > 0, {s}" for s, c in _ENDS.items()))
+
+
+# --- streams: batches that replace themselves, recorded progress --------------------------------
+def killed_once(spark: SparkSession, sf_dir: str, name: str, root: str) -> ingest.StreamSpec:
+    """A stream whose second batch dies between its write and its commit, and which is then started again."""
+    spec = ingest.stream_specs(root)[name]
+    table = driver_context(spark, sf_dir)(f"bronze.stream_{name}")
+    first = F.pmod(F.xxhash64(KEYS[name]), F.lit(2)) == 0
+    producer.send(table.filter(first), spec)
+    ingest.ingest_available(spark, spec)
+    producer.send(table.filter(~first), spec)
+
+    def dies(batch: DataFrame, spec: ingest.StreamSpec, number: int) -> None:
+        ingest.write_batch(batch, spec, number)
+        raise OSError("killed after the write")
+
+    query = ingest.start(spark, spec, once=True, sink=dies)
+    with contextlib.suppress(StreamingQueryException):
+        query.awaitTermination()
+    return spec
+
+
+@own("st04_replayed_batch")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the table after a batch was written twice."""
+    spec = killed_once(spark, sf_dir, "web_events", scratch(spark))
+    ingest.ingest_available(spark, spec)
+    return ingest.read_table(spark, spec)
+
+
+sql("st04_replayed_batch", "SELECT * FROM b_stream_web_events")
+
+
+@own("st11_lag_from_commits")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lag while the second half is written but not committed, and after; no table is counted."""
+    spec = killed_once(spark, sf_dir, "payments", scratch(spark))
+    rows = [("written, not committed", monitor.lag(spark, spec), ingest.committed(spark, spec).count())]
+    ingest.ingest_available(spark, spec)
+    rows.append(("committed", monitor.lag(spark, spec), ingest.committed(spark, spec).count()))
+    return spark.createDataFrame(rows, "step string, behind bigint, batches bigint").withColumn("within_table", F.col("behind") <= ingest.read_table(spark, spec).count()).drop("behind").join(spark.createDataFrame([(r[0], r[1] > 0) for r in rows], "step string, is_behind boolean"), "step")
+
+
+sql("st11_lag_from_commits", "SELECT 'written, not committed' AS step, 1 AS batches, (SELECT count(*) FROM b_stream_payments) > 0 AS within_table, true AS is_behind UNION ALL SELECT 'committed', 2, (SELECT count(*) FROM b_stream_payments) > 0, false")
+
+
+@own("st12_recorded_states")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States, batches and rows of all four streams from the recorded progress, one of which failed and one of which goes on after a failure."""
+    root = scratch(spark)
+    place = f"{root}/progress"
+    recorder = progress.record(spark, place)
+    try:
+        killed_once(spark, sf_dir, "orders", root)
+        ingest.ingest_available(spark, killed_once(spark, sf_dir, "payments", root))
+        for name in ("web_events", "order_items"):
+            spec = ingest.stream_specs(root)[name]
+            producer.send(driver_context(spark, sf_dir)(f"bronze.stream_{name}"), spec)
+            ingest.ingest_available(spark, spec)
+        progress.settle(spark)
+    finally:
+        spark.streams.removeListener(recorder)
+    found = progress.states(progress.recorded(spark, place))
+    return found.select(F.substring("stream", 8, 99).alias("stream"), "state", (F.col("batches") > 0).alias("has_batches"), (F.col("last_ms") >= 0).alias("has_duration"), F.when(F.col("state") != "FAILED", F.col("rows")).alias("rows"), "malformed")
+
+
+sql("st12_recorded_states", "SELECT 'orders' AS stream, 'FAILED' AS state, true AS has_batches, true AS has_duration, CAST(NULL AS BIGINT) AS rows, 0 AS malformed" + "".join(f" UNION ALL SELECT '{n}', 'STOPPED', true, true, (SELECT count(*) FROM b_stream_{n}), 0" for n in ("payments", "web_events", "order_items")))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import id_number, set_digest
 from ..operators.relational import keep_first
 from ..sources.schemas import schema
+from ..sources.scratch import settings
 from ..sources.versioned import Files
 from . import silver
 from .context import Context
@@ -109,13 +110,9 @@ class OrderTables:
         if blocks is None or not self._known(table):
             self._write(table, rows, "overwrite")
             return
-        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
+        with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             columns = self.table(table).columns
             rows.select(*columns).repartition(self.buckets, "order_id").write.mode("overwrite").insertInto(self.name(table))
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
     def attach(self) -> None:
         """Make the catalog of this session know the tables of an earlier one."""

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         Files(spark, path).remove(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a working folder and read again: computed once, however often it is used."""
     path = f"{scratch(df.sparkSession)}/{name}"

@@ -4,17 +4,27 @@ One stream is read from Kafka or from a folder of JSON lines behind the same
 interface: both give the value of each message, which ``from_json`` reads with the
 declared schema.  Offsets live in the query's checkpoint, so a restart resumes where
 it stopped and a first start reads from the beginning.
+
+A micro-batch is written as a partition of its table that carries the batch's name, the
+checkpoint's id and the batch's number, and overwrites that partition.  A batch that runs
+again, since its commit was lost, replaces itself, so a kill at any point leaves no double
+rows.  What a batch read is logged beside the table before the commit, so how far a stream
+is can be told from its commits and this log, without counting rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schemas import STREAM_DATES, STREAMS, schema
+from ..sources.scratch import settings
 from ..sources.versioned import Files
 
 CHECKPOINT_SECONDS = 10
@@ -62,24 +72,68 @@ def _read(values: DataFrame, table: str) -> DataFrame:
     return values.filter(F.length(F.trim("value")) > 0).select("value", row.alias("r"))
 
 
-def start(spark: SparkSession, spec: StreamSpec, once: bool = False, files_per_trigger: int | None = None) -> StreamingQuery:
+def start(spark: SparkSession, spec: StreamSpec, once: bool = False, files_per_trigger: int | None = None, sink: Callable[[DataFrame, StreamSpec, int], None] | None = None) -> StreamingQuery:
     """Start appending a stream to its table; ``once`` reads what is there and stops.
 
     Malformed messages are left out and counted in the metric ``messages`` of each batch.
+    ``sink`` writes a batch (None: ``write_batch``).
     """
-    read = _read(messages(spark, spec, files_per_trigger), spec.name)
-    if STREAM_DATES[spec.name]:
-        # By ranges of days: a task writes few days, so there are few files, and a batch of one day is split among tasks.
-        read = read.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(f"r.{STREAM_DATES[spec.name]}"), F.xxhash64("value"))
-    # After the dealing out, since ranges are drawn by reading a first time, which is not to count.
+    sink = sink or write_batch
     bad = F.count_if(F.col(f"r.{CORRUPT}").isNotNull()).alias("malformed")
-    read = read.observe("messages", F.count(F.lit(1)).alias("read"), bad)
-    rows = read.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
-    writer = rows.writeStream.format("parquet").outputMode("append").queryName(f"stream_{spec.name}").option("checkpointLocation", spec.checkpoint)
-    if STREAM_DATES[spec.name]:
-        writer = writer.partitionBy(STREAM_DATES[spec.name])
+    read = _read(messages(spark, spec, files_per_trigger), spec.name).observe("messages", F.count(F.lit(1)).alias("read"), bad)
+    writer = read.writeStream.queryName(f"stream_{spec.name}").option("checkpointLocation", spec.checkpoint).foreachBatch(lambda batch, number: sink(batch, spec, number))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{CHECKPOINT_SECONDS} seconds")
-    return writer.start(spec.table)
+    return writer.start()
+
+
+#: The partition column that names a row's batch, and the log beside the table.
+BATCH = "batch"
+
+
+def log_of(spec: StreamSpec) -> str:
+    return f"{spec.table}.log"
+
+
+def checkpoint_id(files: Files, spec: StreamSpec) -> str:
+    """The id that a checkpoint was made with; a new checkpoint has another, so its batches replace none of the old one's."""
+    return json.loads(files.read_text(f"{spec.checkpoint}/metadata"))["id"]
+
+
+def write_batch(batch: DataFrame, spec: StreamSpec, number: int) -> None:
+    """Write one micro-batch under its own name, in place of what an earlier try has left, and log what it read.
+
+    Rows are dealt out by day in a rebalancing shuffle, so a backfill writes a file for each
+    day, and a day that is large when the rows are known is split among tasks.
+    """
+    files = Files(batch.sparkSession, spec.table)
+    name = f"{checkpoint_id(files, spec)}-{number}"
+    seen = Observation(f"batch-{uuid.uuid4().hex}")
+    counted = batch.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(f"r.{CORRUPT}").isNotNull()).alias("malformed"))
+    rows = counted.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+    days = [STREAM_DATES[spec.name]] if STREAM_DATES[spec.name] else []
+    session = batch.sparkSession  # the query's own, so the setting holds for its batches only
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many days in one task would be written one after the other
+    # A batch without good messages is not to be planned away, with its counts.
+    session.conf.set("spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation")
+    rows.hint("rebalance", int(session.conf.get("spark.sql.shuffle.partitions")), *days).write.mode("overwrite").partitionBy(*days).parquet(f"{spec.table}/{BATCH}={name}")
+    files.write_text(f"{log_of(spec)}/{name}.json", json.dumps({"batch": name, "number": number, **seen.get}))
+
+
+def committed(spark: SparkSession, spec: StreamSpec) -> DataFrame:
+    """(batch, number, read, malformed) of every batch that is committed, also those of checkpoints before."""
+    files = Files(spark, spec.table)
+    if not files.names(log_of(spec)):
+        return spark.createDataFrame([], _LOGGED)
+    logged = spark.read.schema(_LOGGED).json(log_of(spec))
+    if not files.exists(f"{spec.checkpoint}/metadata"):
+        return logged
+    # Batches of this checkpoint count once their commit is there; commits are removed from the oldest on.
+    last = max([-1, *(int(n) for n in files.names(f"{spec.checkpoint}/commits") if n.isdigit())])
+    own = F.startswith("batch", F.lit(checkpoint_id(files, spec)))
+    return logged.filter(~own | (F.col("number") <= last))
+
+
+_LOGGED = "batch string, number bigint, read bigint, malformed bigint"
 
 
 def ingest_available(spark: SparkSession, spec: StreamSpec) -> int:
@@ -88,7 +142,7 @@ def ingest_available(spark: SparkSession, spec: StreamSpec) -> int:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return _metric(query, "read")  # a source's own count includes what is read to draw ranges
+    return _metric(query, "read")
 
 
 def rejected(query: StreamingQuery) -> int:
@@ -111,9 +165,11 @@ def register(spark: SparkSession, spec: StreamSpec, database: str) -> str:
 
 def read_table(spark: SparkSession, spec: StreamSpec) -> DataFrame:
     """The rows appended so far; an empty table before the first run."""
-    if not Files(spark, spec.table).exists(f"{spec.table}/_spark_metadata"):
+    if not Files(spark, spec.table).exists(spec.table):
         return spark.createDataFrame([], schema(spec.name))
-    return spark.read.schema(schema(spec.name)).parquet(spec.table).select(*schema(spec.name).names)
+    # One listing task for each of thousands of day folders takes longer than listing them.
+    with settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"}):
+        return spark.read.schema(schema(spec.name).add(BATCH, "string")).parquet(spec.table).select(*schema(spec.name).names)
 
 
 def reset(spark: SparkSession, spec: StreamSpec) -> None:
@@ -122,5 +178,5 @@ def reset(spark: SparkSession, spec: StreamSpec) -> None:
         if q.name == f"stream_{spec.name}":
             q.stop()
     files = Files(spark, spec.table)
-    for p in (spec.table, spec.checkpoint):
+    for p in (spec.table, log_of(spec), spec.checkpoint):
         files.remove(p)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.quality import LAG_TOLERANCE
 from ..sources.schemas import DATES, KEYS
-from .ingest import StreamSpec, read_table
+from .ingest import StreamSpec, committed, read_table
 from .producer import end_offset
 
 RATE_WINDOW = 120
@@ -42,9 +42,12 @@ def observed(df: DataFrame, name: str) -> DataFrame:
 
 
 def lag(spark: SparkSession, spec: StreamSpec) -> int | None:
-    """Messages that the table does not have yet; negative if it has more; None without topic."""
+    """Messages that no committed batch has read yet; negative if they read more; None without topic.
+
+    The topic's end and the log of batches tell it, so no rows are counted.
+    """
     end = end_offset(spark, spec)
-    return None if end is None else end - read_table(spark, spec).count()
+    return None if end is None else end - (committed(spark, spec).agg(F.sum("read")).first()[0] or 0)
 
 
 def caught_up(spark: SparkSession, spec: StreamSpec, tolerance: int = LAG_TOLERANCE) -> bool:
@@ -86,7 +89,7 @@ def summary(spark: SparkSession, specs: Sequence[StreamSpec], rows: Callable[[St
     out = []
     for spec in specs:
         try:
-            n = rows(spec) if rows else read_table(spark, spec).count()
+            n = rows(spec) if rows else committed(spark, spec).agg(F.coalesce(F.sum(F.col("read") - F.col("malformed")), F.lit(0))).first()[0]
             out.append({"stream": spec.name, "rows": n, "end": end_offset(spark, spec), **state(spark, spec)})
         except Exception as e:  # reported, not raised
             out.append({"stream": spec.name, "error": str(e).splitlines()[0]})
