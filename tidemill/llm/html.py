@@ -37,7 +37,10 @@ from pyspark.sql.window import Window
 
 from . import tables
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+#: Characters within which quotes in a tag are paired; a longer tag ends at its first ``>``.
+_LONGEST_TAG = 65_536
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
 
 # Element names and the words that mark page furniture.
@@ -53,6 +56,11 @@ MARKS = set(
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ARTICLE_MARKS = set("article article-body articlebody post-content entry-content main-content story story-body post-body".split())
 
+#: Marks that are a mere hint inside an article, where differencing decides.
+WEAK = set("legal disclaimer copyright notice notices alert form".split())
+#: Classes of articles that are not the page's own.
+COMMENT_ARTICLES = set("comment comments reply ad ads advert promo related".split())
+
 #: Words that go with a furniture word in one class without making it something else (site-header, cookie-notice-box).
 LAYOUT = set(
     "site page global main top bottom left right inner outer box bar bars block container wrapper wrap area section panel list lists item items link links button buttons icon icons bg row col column content body text title heading wide mobile desktop fixed sticky"
@@ -65,14 +73,148 @@ PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt address su
 _LOW = {i: i + 32 for i in range(65, 91)}
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each piece of markup; comments and declarations have no name.
+
+    Each character is looked at a bounded number of times: what has no end is text, or ends
+    at the next ``>``.
+    """
+    at, no_cdata = 0, False
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        if not no_cdata and page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            no_cdata = end < 0
+            if end >= 0:
+                at = end + 3
+                yield start, at, "", "", ""
+                continue
+        m = _NAME.match(page, start)
+        if not m and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        end = _tag_end(page, m.end()) if m else page.find(">", start)
+        if end < 0:
+            return  # no tag ends after this place
+        at = end + 1
+        yield (start, at, m[1], m[2].lower(), page[m.end() : end]) if m else (start, at, "", "", "")
+
+
+def _tag_end(page: str, begin: int) -> int:
+    """Place of the ``>`` that ends a tag: outside quotes, or the first one where quotes are not paired."""
+    at, limit = begin, begin + _LONGEST_TAG
+    while m := _STOP.search(page, at, limit):
+        if m[0] == ">":
+            return m.start()
+        other = page.find(m[0], m.end(), limit)
+        if other < 0:
+            break
+        at = other + 1
+    return page.find(">", begin)
+
+
+#: Why an element may be furniture: not at all, by its class only, as an article of that class, or by what it is.
+NO, BY_CLASS, BY_WEAK_CLASS, BY_ARTICLE_CLASS, BY_NATURE = range(5)
+
+
+class _Element:
+    __slots__ = ("article", "furniture", "holds", "inline", "name", "place")
+
+    def __init__(self, name: str, furniture: int, place: int):
+        self.name, self.furniture, self.place = name, furniture, place
+        self.inline, self.holds = name in INLINE, False
+        self.article = place in (ARTICLE, MAIN) and not furniture
+
+
+def _events(page: str) -> list[tuple[int, object]]:
+    """(1, element) where one begins, (-1, element) where it ends, (0, text), (2, block break or not) in page order; every element ends."""
+    events: list[tuple[int, object]] = []
+    stack: list[_Element] = []
+    places: dict[str, list[int]] = {}  # where elements of a name stand on the stack
+    furniture: list[int] = []
+    low = page.translate(_LOW)  # as long as the page, unlike lower()
+    ends: dict[str, int] = {}
+
+    def last_end(name: str) -> int:
+        if name not in ends:
+            ends[name] = low.rfind(f"</{name}")
+        return ends[name]
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            e = stack.pop()
+            places[e.name].pop()
+            if furniture and furniture[-1] == len(stack):
+                furniture.pop()
+            if stack and (e.holds or e.article):
+                stack[-1].holds = True
+            events.append((-1, e))
+
+    done = 0
+    for start, end, slash, name, attributes in _tokens(page):
+        if start < done:  # inside a script or the like
+            continue
+        events.append((0, page[done:start]))
+        done = end
+        if not name:
+            continue
+        if name in VOID:
+            if name in ("hr", "br"):
+                events.append((2, name == "hr"))
+            continue
+        if slash or name not in INLINE:
+            if name not in INLINE:
+                events.append((2, name not in ("td", "th")))
+        if slash:
+            own = places.get(name)
+            if own and not (name in INLINE and furniture and furniture[-1] > own[-1]):
+                close(own[-1])
+            continue
+        if attributes.endswith("/"):
+            continue
+        if name in RAW:
+            over = low.find(f"</{name}", end) if last_end(name) >= end else -1
+            gone = page.find(">", over) if over >= 0 else -1
+            done = gone + 1 if gone >= 0 else len(page)
+            continue
+        kind, place = _kind(name, attributes)
+        # Furniture that is never closed would swallow the page.
+        if kind and last_end(name) < end:
+            kind = NO
+        if name == "p" and places.get("p") and all(e.inline for e in stack[places["p"][-1] + 1 :][:_NESTED]):  # a paragraph ends the one before it
+            close(places["p"][-1])
+        places.setdefault(name, []).append(len(stack))
+        if kind:
+            furniture.append(len(stack))
+        stack.append(_Element(name, kind, place))
+        events.append((1, stack[-1]))
+    events.append((0, page[done:]))
+    close(0)
+    return events
+
+
+#: Inline elements between two paragraphs that are looked through.
+_NESTED = 64
+
+
 def lines(page: str) -> list[tuple[int, str]]:
-    """(place, text) of each block of a page outside its furniture, in page order."""
+    """(place, text) of each block of a page outside its furniture, in page order.
+
+    An element that holds an article or a main part is no furniture for its class or for
+    being a form, an article is none for its class unless the page has another, and inside
+    an article some classes are a mere hint.
+    """
+    events = _events(page)
+    elsewhere = any(kind == 1 and e.article for kind, e in events)
     found: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, furniture, place
+    blocks: list[str] = []
     skipped, inside = 0, {NEUTRAL: 0, ARTICLE: 0, MAIN: 0, HINT: 0}
-    low = page.translate(_LOW)  # as long as the page, unlike lower()
-    at = 0
+    opened: list[tuple[bool, int]] = []
 
     def close_block() -> None:
         if parts:
@@ -80,93 +222,62 @@ def lines(page: str) -> list[tuple[int, str]]:
             parts.clear()
             if text:
                 place = ARTICLE if inside[ARTICLE] else MAIN if inside[MAIN] else NEUTRAL
-                block = next((name for name, _, _ in reversed(stack) if name not in INLINE), "")
-                found.append((place + (LOOSE if place == ARTICLE and block not in PARAGRAPHS else 0) + (HINT if inside[HINT] else 0), text))
-
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not skipped:
-            parts.append(page[at : m.start() if m else len(page)])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if name in VOID:
+                found.append((place + (LOOSE if place == ARTICLE and (blocks[-1] if blocks else "") not in PARAGRAPHS else 0) + (HINT if inside[HINT] else 0), text))
+
+    for kind, what in events:
+        if kind == 0:
+            if not skipped and what:
+                parts.append(what)
+        elif kind == 2:
             if not skipped:
-                if name == "hr":
-                    close_block()
-                elif name == "br":
-                    parts.append(" ")
-            continue
-        if m[1]:
-            if not skipped and name not in INLINE:
-                close_block() if name not in ("td", "th") else parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if skipped and name in INLINE and any(f for _, f, _ in stack[k + 1 :]):
-                        break
-                    for _, furniture, place in stack[k:]:
-                        skipped -= furniture
-                        inside[place] -= 1
-                    del stack[k:]
-                    break
-            continue
-        if m[3].endswith("/"):
-            continue
-        if name in RAW:
-            end = low.find(f"</{name}", at)
-            gone = page.find(">", end) if end >= 0 else -1
-            at = gone + 1 if gone >= 0 else len(page)
-            continue
-        if not skipped and name not in INLINE:
-            close_block() if name not in ("td", "th") else parts.append(" ")
-        furniture, place = _kind(name, m[3])
-        # Furniture that is never closed would swallow the page.
-        if furniture and low.find(f"</{name}", at) < 0:
-            furniture = False
-        if name == "p":  # a paragraph ends the one before it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    for _, f, a in stack[k:]:
-                        skipped -= f
-                        inside[a] -= 1
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if not skipped and place and not furniture and not inside[place]:
-            close_block()
-        stack.append((name, furniture, NEUTRAL if furniture or skipped else place))
-        skipped += furniture
-        inside[stack[-1][2]] += 1
+                close_block() if what else parts.append(" ")
+        elif kind == 1:
+            by_class = what.furniture == BY_CLASS or (what.furniture == BY_WEAK_CLASS and not inside[ARTICLE]) or (what.furniture == BY_ARTICLE_CLASS and elsewhere)
+            gone = what.furniture == BY_NATURE or (by_class and not what.holds)
+            place = HINT if what.furniture == BY_WEAK_CLASS and inside[ARTICLE] else what.place
+            if not skipped and place and not gone and not inside[place]:
+                close_block()
+            opened.append((gone, NEUTRAL if gone or skipped else place))
+            skipped += gone
+            inside[opened[-1][1]] += 1
+            if not what.inline:
+                blocks.append(what.name)
+        else:
+            gone, place = opened.pop()
+            if not skipped and place:
+                close_block()
+            skipped -= gone
+            inside[place] -= 1
+            if not what.inline:
+                blocks.pop()
     close_block()
     return found
 
 
-def _kind(name: str, attributes: str) -> tuple[bool, int]:
-    """(furniture, place) of an element."""
-    furniture, article, hint = name in FURNITURE, {"article": ARTICLE, "main": MAIN}.get(name, NEUTRAL), False
+def _kind(name: str, attributes: str) -> tuple[int, int]:
+    """(why it may be furniture, place) of an element."""
+    furniture, article, hint = (BY_CLASS if name == "form" else BY_NATURE) if name in FURNITURE else NO, {"article": ARTICLE, "main": MAIN}.get(name, NEUTRAL), False
     if attributes and name not in ("html", "body"):
         for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             key = key.lower()
             if hidden or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (key == "aria-hidden" and value == "true"):
-                furniture = True
+                furniture = BY_NATURE
             elif key in ("class", "id"):
                 words = value.split()
                 marks = [_marked(x) for x in words]
                 if not article and True in marks and not set(words) & ARTICLE_MARKS:
-                    furniture = True
-                elif article and {w for x in words for w in (x, *re.split(r"[-_]+", x))} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
-                    furniture = True
+                    weak = all({x, *re.split(r"[-_]+", x)} & MARKS <= WEAK for x, m in zip(words, marks, strict=True) if m)
+                    if furniture in (NO, BY_WEAK_CLASS):
+                        furniture = BY_WEAK_CLASS if weak else BY_CLASS
+                elif article and set(words) & COMMENT_ARTICLES:
+                    furniture = furniture or BY_ARTICLE_CLASS
                 elif not article and None in marks and not set(words) & ARTICLE_MARKS:
                     hint = True
                 elif set(words) & ARTICLE_MARKS:
                     article = ARTICLE if article == ARTICLE or set(words) & (ARTICLE_MARKS - {"main-content"}) else MAIN
             elif key == "role":
-                furniture = furniture or value in ROLES
+                furniture = BY_NATURE if value in ROLES else furniture
                 article = ARTICLE if value == "article" else MAIN if value == "main" and article != ARTICLE else article
     return furniture, article or (HINT if hint else NEUTRAL)
 
