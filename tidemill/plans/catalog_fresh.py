@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import id_number
-from ..sources.schemas import KEYS
+from ..operators import bitmaps
+from ..sources import footers, landing
+from ..sources.schemas import DATES, KEYS, STREAMS
 from ..sources.scratch import scratch
 from ..streaming import ingest, monitor, producer, progress
-from . import gold, incremental
+from . import gold, incremental, quality
 from .catalog import add
 from .catalog_more import own
 from .catalog_ops import sql
-from .context import driver_context
+from .context import Context, driver_context
 
 # --- facts by touched blocks -----------------------------------------------------------------
 #: A block is a sixteenth of the batch's order numbers, and the newest twentieth of a block's width arrives late.
@@ -137,3 +139,62 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("st12_recorded_states", "SELECT 'orders' AS stream, 'FAILED' AS state, true AS has_batches, true AS has_duration, CAST(NULL AS BIGINT) AS rows, 0 AS malformed" + "".join(f" UNION ALL SELECT '{n}', 'STOPPED', true, true, (SELECT count(*) FROM b_stream_{n}), 0" for n in ("payments", "web_events", "order_items")))
+
+
+# --- checks without shuffling keys, and without reading rows -------------------------------------
+def key_report(ctx: Context, tables: dict[str, str]) -> DataFrame:
+    return bitmaps.repeated_keys([bitmaps.KeySet(t, ctx(t), k) for t, k in tables.items()]).withColumnRenamed("set", "table_name")
+
+
+def _key_sql(tables: dict[str, str]) -> str:
+    one = "SELECT '{t}' AS table_name, count(*) AS rows, count(DISTINCT {k}) AS distinct_keys, (SELECT count(*) FROM (SELECT {k} FROM {b} GROUP BY {k} HAVING count(*) > 1)) AS repeated_keys FROM {b}"
+    return "\nUNION ALL ".join(one.format(t=t, k=k, b=t.replace("bronze.", "b_")) for t, k in tables.items())
+
+
+for _name, _tables in (("dq02_bitmap_keys", {f"bronze.{t}": k for t, k in KEYS.items()}), ("dq06_bitmap_stream_keys", {f"bronze.stream_{t}": KEYS[t] for t in STREAMS})):
+    add(_name, lambda ctx, t=_tables: key_report(ctx, t), _key_sql(_tables))
+
+
+def _children(ctx: Context) -> DataFrame:
+    """Rows without parent, by relation, of raw tables and streams; a null key has no parent."""
+    out = None
+    for child, key, parent in _RELATIONS:
+        lost = bitmaps.orphan_rows(ctx(f"bronze.{child}"), key, ctx(f"bronze.{parent}")).agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+        one = lost.select(F.lit(f"{child}.{key}").alias("relation"), "keys", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RELATIONS = (*quality.RAW_PARENTS, ("stream_web_events", "customer_id", "customers"), ("stream_orders", "customer_id", "customers"), ("stream_order_items", "product_id", "products"))
+add("dq05_bitmap_parents", _children, "\nUNION ALL ".join(f"SELECT '{c}.{k}' AS relation, count(DISTINCT {k}) AS keys, count(*) AS rows FROM b_{c} c WHERE {k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b_{p} p WHERE p.{k} = c.{k})" for c, k, p in _RELATIONS))
+
+
+@own("dq04_footer_ranges")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and date range of landed tables, which no row is read for."""
+    ctx, root, out = driver_context(spark, sf_dir), scratch(spark), None
+    for t in DATES:
+        path = landing.land(ctx(f"bronze.{t}"), root, t)
+        one = footers.answered(footers.ranges(footers.table(spark, path), DATES[t])).toDF("rows", "first_date", "last_date")
+        one = one.select(F.lit(t).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+sql("dq04_footer_ranges", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, min({d}) AS first_date, max({d}) AS last_date FROM b_{t}" for t, d in DATES.items()))
+
+
+@own("st10_footer_observer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, out = scratch(spark), None
+    for name in STREAMS:
+        spec = ingest.stream_specs(root)[name]
+        producer.send(driver_context(spark, sf_dir)(f"bronze.stream_{name}"), spec)
+        ingest.ingest_available(spark, spec)
+        one = monitor.observe_footers(spark, spec).select(F.lit(name).alias("stream"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_DAY = {**DATES, "order_items": "CAST(NULL AS DATE)"}
+sql("st10_footer_observer", "\nUNION ALL ".join(f"SELECT '{n}' AS stream, count(*) AS rows, min({_DAY[n]}) AS first_date, max({_DAY[n]}) AS last_date FROM b_stream_{n}" for n in STREAMS))

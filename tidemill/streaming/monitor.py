@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.quality import LAG_TOLERANCE
-from ..sources.schemas import DATES, KEYS
-from .ingest import StreamSpec, committed, read_table
+from ..sources import footers
+from ..sources.schemas import DATES, KEYS, STREAM_DATES, schema
+from ..sources.scratch import settings
+from ..sources.versioned import Files
+from .ingest import BATCH, StreamSpec, committed, read_table
 from .producer import end_offset
 
 RATE_WINDOW = 120
@@ -41,6 +44,19 @@ def observed(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(KEYS[name]).alias("distinct_keys"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
+def observe_footers(spark: SparkSession, spec: StreamSpec) -> DataFrame:
+    """One row: rows, first and last date of a stream's table, from file footers and partition names only."""
+    path, date = spec.table, STREAM_DATES[spec.name]
+    if not Files(spark, path).exists(path):
+        return spark.createDataFrame([(0, None, None)], "rows bigint, first_date date, last_date date")
+    with settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"}):
+        df = footers.table(spark, path, schema(spec.name).add(BATCH, "string"))
+    # A stream's date is a partition column: its days and their rows are a small table.
+    by = footers.answered(footers.partition_rows(df, date) if date else footers.ranges(df))
+    day = F.col(date) if date else F.lit(None).cast("date")
+    return by.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
+
+
 def lag(spark: SparkSession, spec: StreamSpec) -> int | None:
     """Messages that no committed batch has read yet; negative if they read more; None without topic.
 
