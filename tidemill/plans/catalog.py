@@ -110,7 +110,7 @@ add("g05_post_stats", _stats("gold", "post"), _rows("post", *_GOLD_POST))
 # Serving queries, without filters and with all that they honour.
 _MONEY = "CAST(sum({c}) AS DECIMAL(24,2))"
 _BUCKET = "CASE WHEN net_revenue <= 0 THEN '0. no revenue' WHEN net_revenue < 50 THEN '1. < 50' WHEN net_revenue < 250 THEN '2. 50-250' WHEN net_revenue < 500 THEN '3. 250-500' WHEN net_revenue < 1000 THEN '4. 500-1k' WHEN net_revenue < 2500 THEN '5. 1k-2.5k' WHEN net_revenue < 5000 THEN '6. 2.5k-5k' ELSE '7. 5k+' END"
-_MARTS = {
+MART_SQL = {
     "m01_kpi_customers": "SELECT count(*) AS value FROM g_customer_360 WHERE {cust}",
     "m02_kpi_orders": "SELECT CAST(sum(orders) AS BIGINT) AS value FROM g_revenue_by_channel WHERE {rev}",
     "m03_kpi_gmv": f"SELECT {_MONEY.format(c='gross_revenue')} AS value FROM g_revenue_by_channel WHERE {{rev}}",
@@ -127,7 +127,7 @@ FROM g_customer_360 WHERE {{cust}} ORDER BY net_revenue DESC, customer_id LIMIT
 FILTERS = {"channels": ["web", "pos"], "months": ("1996-01-01", "1998-12-01"), "acq_channels": ["building", "machinery"], "churn_risks": ["low", "high"], "search": "User.1"}
 _FILTER_SQL = {"cust": "marketing_channel IN ('building', 'machinery') AND churn_risk IN ('low', 'high') AND contains(lower(first_name || ' ' || last_name || ' ' || email || ' ' || customer_id), 'user.1')", "months": "month BETWEEN DATE '1996-01-01' AND DATE '1998-12-01'"}
 _FILTER_SQL["rev"] = f"channel IN ('web', 'pos') AND {_FILTER_SQL['months']}"
-for _name, _sql in _MARTS.items():
+for _name, _sql in MART_SQL.items():
     add(_name, lambda ctx, n=_name[4:]: marts.mart(ctx, n), _sql.format(cust="true", rev="true", months="true"))
     add(f"{_name}_filtered", lambda ctx, n=_name[4:]: marts.mart(ctx, n, FILTERS), _sql.format(**_FILTER_SQL))
 add("m12_mart_registry", lambda ctx: ctx.spark.createDataFrame([(n,) for n in sorted(marts.MARTS)], "mart string"), "SELECT unnest(['category_mix', 'channel_mix', 'churn_risk_mix', 'customer_sample', 'kpi_aov', 'kpi_customers', 'kpi_gmv', 'kpi_orders', 'ltv_distribution', 'revenue_trend', 'rfm_segment_mix']) AS mart")

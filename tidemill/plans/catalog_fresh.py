@@ -15,8 +15,8 @@ from ..sources import footers, landing
 from ..sources.schemas import DATES, KEYS, STREAMS
 from ..sources.scratch import scratch
 from ..streaming import ingest, monitor, producer, progress
-from . import gold, incremental, quality
-from .catalog import add
+from . import gold, incremental, quality, rollup
+from .catalog import FILTERS, ORACLE, add
 from .catalog_more import own
 from .catalog_ops import sql
 from .context import Context, driver_context
@@ -198,3 +198,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAY = {**DATES, "order_items": "CAST(NULL AS DATE)"}
 sql("st10_footer_observer", "\nUNION ALL ".join(f"SELECT '{n}' AS stream, count(*) AS rows, min({_DAY[n]}) AS first_date, max({_DAY[n]}) AS last_date FROM b_stream_{n}" for n in STREAMS))
+
+
+# --- marts from grouping sets --------------------------------------------------------------------
+for _name in [n for n in ORACLE if n.startswith(("m01", "m02", "m03", "m04", "m05", "m06", "m07", "m08", "m09", "m10"))]:
+    _filters = {k: v for k, v in FILTERS.items() if k != "search"} if _name.endswith("_filtered") else {}
+    _short = _name[4:].removesuffix("_filtered")
+    if not _filters:
+        add(f"rollup_{_name}", lambda ctx, n=_short: rollup.mart(rollup.build(ctx), ctx, n))
+        ORACLE[f"rollup_{_name}"] = ORACLE[_name]
+    elif "customers" not in _short and not _short.startswith(("ltv", "churn", "rfm")):
+        add(f"rollup_{_name}", lambda ctx, n=_short, f=_filters: rollup.mart(rollup.build(ctx), ctx, n, f))
+        ORACLE[f"rollup_{_name}"] = ORACLE[_name]
+_FOUND = "SELECT churn_risk, count(*) AS customers FROM g_customer_360 WHERE marketing_channel IN ('building', 'machinery') AND churn_risk IN ('low', 'high') GROUP BY 1"
+add("rollup_m06_churn_risk_mix_filtered", lambda ctx: rollup.mart(rollup.build(ctx), ctx, "churn_risk_mix", {k: FILTERS[k] for k in ("acq_channels", "churn_risks")}), _FOUND)

@@ -19,7 +19,7 @@ from ..sources.scratch import scratch
 from ..sources.versioned import Files, Store
 from ..streaming import ingest, monitor, producer
 from . import marts, quality, serving, silver, verify
-from .catalog import ORACLE, QUERIES, add
+from .catalog import MART_SQL, ORACLE, QUERIES, add
 from .catalog_more import _DQ, check_report, own
 from .context import driver_context
 from .oracle import oracle
@@ -542,7 +542,9 @@ sql("v04_verify_gold", _union([*[f"'{n}' AS check_name, coalesce((SELECT {a}), 0
 QUERIES["v04_gold_figures"] = lambda spark, sf_dir: verify.gold_figures(driver_context(spark, sf_dir, materialise=True))
 sql("v04_gold_figures", _union([f"'{n}' AS figure, CAST(coalesce((SELECT {a}), 0) AS DECIMAL(24,2)) AS a, CAST(coalesce((SELECT {b}), 0) AS DECIMAL(24,2)) AS b" for n, (a, b) in _FIGURES.items()]))
 sql("v06_verify_bronze", _union([*[f"'bronze.{t} rows' AS check_name, (SELECT count(*) FROM b_{t}) > 0 AS passed" for t in TABLES], "'top customers' AS check_name, (SELECT count(DISTINCT customer_id) FROM b_orders) >= 5 AS passed"]))
-sql("v07_verify_serving", _union([*[f"'mart {m}' AS check_name, (SELECT count(*) FROM g_customer_360) > 0 AS passed" for m in marts.MARTS], "'customers over buckets', (SELECT count(*) FROM g_customer_360) > 0", "'customers over risks', (SELECT count(*) FROM g_customer_360) > 0", "'revenue over months', (SELECT sum(gross_revenue) FROM g_revenue_by_channel) = (SELECT sum(gross_revenue) FROM g_monthly_kpis)"]))
+_OF_MART = {n[4:]: MART_SQL[n].format(cust="true", rev="true", months="true") for n in MART_SQL}
+_CUSTOMERS = f"(SELECT value FROM ({_OF_MART['kpi_customers']}))"
+sql("v07_verify_serving", _union([*[f"'mart {m}' AS check_name, (SELECT count(*) FROM ({_OF_MART[m]})) > 0 AS passed" for m in marts.MARTS], *[f"'customers over {what}', (SELECT sum(customers) FROM ({_OF_MART[m]})) = {_CUSTOMERS}" for what, m in (("buckets", "ltv_distribution"), ("risks", "churn_risk_mix"))], f"'revenue over months', (SELECT sum(gross_revenue) FROM ({_OF_MART['revenue_trend']})) = (SELECT value FROM ({_OF_MART['kpi_gmv']}))"]))
 
 
 @own("v05_topic_equals_table")
@@ -559,10 +561,20 @@ sql("v05_topic_equals_table", _union([f"'{n}' AS stream, true AS same, (SELECT c
 
 # --- all checks ------------------------------------------------------------------------------
 QUERIES["dq_report"] = lambda spark, sf_dir: check_report(driver_context(spark, sf_dir, materialise=True)).drop("detail")
+#: Manifests with a row too many, and streams with a message more than the tolerance: these checks fail.
+QUERIES["dq_report_behind"] = lambda spark, sf_dir: check_report(driver_context(spark, sf_dir, materialise=True), 1, quality.LAG_TOLERANCE + 1).drop("detail").filter("condition in ('manifest', 'kafka_lag')")
 
+_ORDERS = "(SELECT o_orderkey AS k FROM orders WHERE o_custkey % 25 <> 0)"
+_ITEMS = "(SELECT l_orderkey AS k FROM lineitem WHERE l_orderkey % 25 <> 7 AND l_partkey IN (SELECT p_partkey FROM part))"
+#: Rows that each raw table should have, counted from the tables that it is made of.
+_EXPECTED = {
+    "customers": "SELECT count(*) FROM customer", "products": "SELECT count(*) FROM part", "orders": f"SELECT count(*) FROM {_ORDERS}", "order_items": f"SELECT count(*) FROM {_ITEMS}", "payments": f"SELECT count(*) FROM {_ORDERS}",
+    "refunds": f"SELECT count(*) FROM {_ORDERS} WHERE k % 100 BETWEEN 84 AND 90", "web_events": "SELECT count(*) FROM events", "support_tickets": "SELECT count(*) FROM events WHERE event_type = 'error'",
+} | {f"stream_{t}": f"SELECT count_if(k % 3 = 0) + count_if(k % 40 = 0) FROM {rows}" for t, rows in (("orders", _ORDERS), ("order_items", _ITEMS), ("payments", _ORDERS), ("web_events", "(SELECT event_id AS k FROM events)"))}
 
-def _passes(spec: quality.CheckSpec, values: dict[str, str]) -> str:
-    """A condition on a check's probe, in SQL; the period is that of the batch orders."""
+
+def _passes(spec: quality.CheckSpec, values: dict[str, str], missing: int = 0, behind: int = 0) -> str:
+    """A condition on a check's probe, in SQL; the period is that of the batch orders, and expected rows are counted from the source tables."""
     start, end = "(SELECT min(order_date) FROM b_orders)", "(SELECT max(order_date) FROM b_orders)"
     v = {m: f"({x})" for m, x in values.items()}
     if spec.condition == "range_cover":
@@ -580,15 +592,17 @@ def _passes(spec: quality.CheckSpec, values: dict[str, str]) -> str:
     if spec.condition == "max_month":
         return f"coalesce({v['mx']} >= date_trunc('month', {end}), false)"
     (one,) = v.values()
-    return {"zero": f"{one} = 0", "positive": f"{one} > 0", "manifest": f"{one} = {one}", "kafka_lag": f"{one} = {one}", "info": "true", "boolean_true": f"coalesce({one}, false)"}[spec.condition]
+    expected = f"({_EXPECTED.get(spec.table, 'SELECT NULL')})"
+    return {"zero": f"{one} = 0", "positive": f"{one} > 0", "manifest": f"{one} = {expected} + {missing}", "kafka_lag": f"abs({expected} + {behind} - {one}) <= {quality.LAG_TOLERANCE}", "info": "true", "boolean_true": f"coalesce({one}, false)"}[spec.condition]
 
 
-def _report_sql() -> str:
+def _report_sql(missing: int = 0, behind: int = 0, only: tuple[str, ...] = ()) -> str:
     probes: dict[str, dict[str, str]] = {}
     for rows in _DQ.values():
         for key, measure, text in rows:
             probes.setdefault(key, {})[measure] = text
-    return _union([f"'{s.family}' AS family, '{s.key}' AS check_key, '{s.condition}' AS condition, {s.blocking} AS blocking, {_passes(s, probes[s.key])} AS passed" for s in quality.build_checks()])
+    return _union([f"'{s.family}' AS family, '{s.key}' AS check_key, '{s.condition}' AS condition, {s.blocking} AS blocking, {_passes(s, probes[s.key], missing, behind)} AS passed" for s in quality.build_checks() if not only or s.condition in only])
 
 
 sql("dq_report", _report_sql())
+sql("dq_report_behind", _report_sql(1, quality.LAG_TOLERANCE + 1, ("manifest", "kafka_lag")))
