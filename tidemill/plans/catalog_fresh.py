@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import id_number
-from ..operators import bitmaps
+from ..operators import bitmaps, trigram
+from ..operators.skew import hot_keys, salted_join
 from ..sources import footers, landing
 from ..sources.schemas import DATES, KEYS, STREAMS
 from ..sources.scratch import scratch
 from ..streaming import ingest, monitor, producer, progress
-from . import gold, incremental, quality, rollup
+from . import gold, incremental, quality, rollup, silver
 from .catalog import FILTERS, ORACLE, add
 from .catalog_more import own
 from .catalog_ops import sql
@@ -212,3 +213,34 @@ for _name in [n for n in ORACLE if n.startswith(("m01", "m02", "m03", "m04", "m0
         ORACLE[f"rollup_{_name}"] = ORACLE[_name]
 _FOUND = "SELECT churn_risk, count(*) AS customers FROM g_customer_360 WHERE marketing_channel IN ('building', 'machinery') AND churn_risk IN ('low', 'high') GROUP BY 1"
 add("rollup_m06_churn_risk_mix_filtered", lambda ctx: rollup.mart(rollup.build(ctx), ctx, "churn_risk_mix", {k: FILTERS[k] for k in ("acq_channels", "churn_risks")}), _FOUND)
+
+
+# --- joins with hot keys -------------------------------------------------------------------------
+add("s07_salted_refunds", lambda ctx: silver.fct_refunds(ctx, salted_join), "SELECT * FROM s_fct_refunds")
+add("s09_salted_tickets", lambda ctx: silver.fct_support_tickets(ctx, salted_join), "SELECT * FROM s_fct_support_tickets")
+
+
+def _events_of_customers(ctx: Context) -> DataFrame:
+    """Events, a third of which have no customer and a third of which are made one customer's, with the customer's country."""
+    number = id_number("event_id") % 3
+    one = ctx("bronze.customers").agg(F.min("customer_id").alias("one"))
+    events = ctx("bronze.web_events").crossJoin(F.broadcast(one)).select("event_id", F.when(number == 0, F.col("one")).when(number == 1, F.col("customer_id")).alias("customer_id"))
+    return salted_join(events, ctx("bronze.customers").select("customer_id", "country"), ["customer_id"], "left").select("event_id", "customer_id", "country")
+
+
+_SKEWED = "SELECT event_id, CASE CAST(substr(event_id, 5) AS BIGINT) % 3 WHEN 0 THEN (SELECT min(customer_id) FROM b_customers) WHEN 1 THEN customer_id END AS customer_id FROM b_web_events"
+add("j03_salted_hot_key", _events_of_customers, f"SELECT event_id, customer_id, country FROM ({_SKEWED}) LEFT JOIN b_customers USING (customer_id)")
+add("j03_hot_keys", lambda ctx: hot_keys(ctx("bronze.web_events"), ["event_type"], 0.2).select("event_type", "salts"), "SELECT event_type, CAST(ceil(count(*) / greatest(1.0, 0.2 * (SELECT count(*) FROM b_web_events))) AS INTEGER) AS salts FROM b_web_events GROUP BY event_type HAVING count(*) > 0.2 * (SELECT count(*) FROM b_web_events)")
+
+
+# --- search by grams -----------------------------------------------------------------------------
+def _searched(term: str):
+    def build(ctx: Context) -> DataFrame:
+        customers = ctx("gold.customer_360").select("customer_id", "first_name", "last_name", "email")
+        return trigram.search(trigram.build(customers, "customer_id", F.concat_ws(" ", "first_name", "last_name", "email", "customer_id")), term)
+
+    return build
+
+
+for _name, _term in (("pf08_gram_search", "USER.12"), ("pf08_gram_search_short", "7@"), ("pf08_gram_search_one", "9")):
+    add(_name, _searched(_term), f"SELECT customer_id, first_name, last_name, email FROM g_customer_360 WHERE contains(lower(concat_ws(' ', first_name, last_name, email, customer_id)), '{_term.lower()}')")

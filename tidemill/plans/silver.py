@@ -5,6 +5,8 @@ Facts that also arrive as a stream merge both sources, and the batch row wins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions import clean, day_name, days_between, enum, iso_weekday, money
 from ..operators.relational import keep_first, merge_sources, ranked_union
 from .context import Context
 
+Join = Callable[[DataFrame, DataFrame, list[str], str], DataFrame]
+
 
 def dim_customers(ctx: Context) -> DataFrame:
     """One customer for each normalised email; the earliest signup wins, then the smaller id."""
@@ -112,10 +116,10 @@ def payments_fact(payments: DataFrame, merged: DataFrame) -> DataFrame:
     )
 
 
-def fct_refunds(ctx: Context) -> DataFrame:
-    """Refunds of batch orders."""
+def fct_refunds(ctx: Context, join: Join = DataFrame.join) -> DataFrame:
+    """Refunds of batch orders; ``join``: how they are joined (``operators.skew.salted_join`` where few orders hold many)."""
     orders = ctx("bronze.orders").select("order_id", "order_date", "total_amount")
-    return ctx("bronze.refunds").join(orders, "order_id").select(
+    return join(ctx("bronze.refunds"), orders, ["order_id"], "inner").select(
         "refund_id", "order_id", "customer_id", "order_date", "refund_date", days_between("order_date", "refund_date").alias("refund_lag_days"), money("refund_amount").alias("refund_amount"),
         money("total_amount").alias("order_total"), enum("refund_reason").alias("refund_reason"), (money("refund_amount") >= money("total_amount")).alias("is_full_refund"),
     )
@@ -126,10 +130,10 @@ def fct_web_events(ctx: Context) -> DataFrame:
     return events.select("event_id", "customer_id", enum("event_type").alias("event_type"), clean("category").alias("category"), enum("device").alias("device"), "event_date", F.col("customer_id").isNull().alias("is_anonymous"))
 
 
-def fct_support_tickets(ctx: Context) -> DataFrame:
+def fct_support_tickets(ctx: Context, join: Join = DataFrame.join) -> DataFrame:
     """Tickets; a link is valid if the order is the customer's own batch order."""
     own = ctx("bronze.orders").select("order_id", "customer_id", F.lit(True).alias("own"))
-    return ctx("bronze.support_tickets").join(own, ["order_id", "customer_id"], "left").select(
+    return join(ctx("bronze.support_tickets"), own, ["order_id", "customer_id"], "left").select(
         "ticket_id", "customer_id", "order_id", F.col("order_id").isNotNull().alias("has_linked_order"), F.col("own").isNotNull().alias("linked_order_valid"),
         enum("issue_type").alias("issue_type"), enum("priority").alias("priority"), "ticket_date", enum("status").alias("status"),
     )
