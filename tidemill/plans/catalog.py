@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalar import REVENUE_BUCKETS, TOP_BUCKET
 from . import marts
 from .context import Context, driver_context
+from .gold import ladder
 from .oracle import oracle
 from .specs import SPECS, stats
 
@@ -109,19 +111,19 @@ add("g05_post_stats", _stats("gold", "post"), _rows("post", *_GOLD_POST))
 
 # Serving queries, without filters and with all that they honour.
 _MONEY = "CAST(sum({c}) AS DECIMAL(24,2))"
-_BUCKET = "CASE WHEN net_revenue <= 0 THEN '0. no revenue' WHEN net_revenue < 50 THEN '1. < 50' WHEN net_revenue < 250 THEN '2. 50-250' WHEN net_revenue < 500 THEN '3. 250-500' WHEN net_revenue < 1000 THEN '4. 500-1k' WHEN net_revenue < 2500 THEN '5. 1k-2.5k' WHEN net_revenue < 5000 THEN '6. 2.5k-5k' ELSE '7. 5k+' END"
+BUCKET_SQL = ladder(tuple((f"net_revenue {'<' if i else '<='} {bound}", label) for i, (bound, label) in enumerate(REVENUE_BUCKETS)), TOP_BUCKET)
 MART_SQL = {
     "m01_kpi_customers": "SELECT count(*) AS value FROM g_customer_360 WHERE {cust}",
     "m02_kpi_orders": "SELECT CAST(sum(orders) AS BIGINT) AS value FROM g_revenue_by_channel WHERE {rev}",
     "m03_kpi_gmv": f"SELECT {_MONEY.format(c='gross_revenue')} AS value FROM g_revenue_by_channel WHERE {{rev}}",
     "m04_kpi_aov": "SELECT round(CAST(sum(net_revenue) AS DOUBLE) / CAST(sum(valid_orders) AS DOUBLE), 6) AS value FROM g_revenue_by_channel WHERE {rev}",
-    "m05_ltv_distribution": f"SELECT {_BUCKET} AS ltv_bucket, count(*) AS customers FROM g_customer_360 WHERE {{cust}} GROUP BY 1",
+    "m05_ltv_distribution": f"SELECT {BUCKET_SQL} AS ltv_bucket, count(*) AS customers FROM g_customer_360 WHERE {{cust}} GROUP BY 1",
     "m06_churn_risk_mix": "SELECT churn_risk, count(*) AS customers FROM g_customer_360 WHERE {cust} GROUP BY 1",
     "m07_rfm_segment_mix": "SELECT rfm_segment, count(*) AS customers FROM g_customer_360 WHERE {cust} GROUP BY 1",
     "m08_revenue_trend": f"SELECT month, {_MONEY.format(c='gross_revenue')} AS gross_revenue, {_MONEY.format(c='net_revenue')} AS net_revenue FROM g_revenue_by_channel WHERE {{rev}} GROUP BY 1",
     "m09_channel_mix": f"SELECT channel, {_MONEY.format(c='net_revenue')} AS net_revenue FROM g_revenue_by_channel WHERE {{rev}} GROUP BY 1",
     "m10_category_mix": f"SELECT category, {_MONEY.format(c='gross_revenue')} AS gross_revenue FROM g_revenue_by_category WHERE {{months}} GROUP BY 1",
-    "m11_customer_sample": f"""SELECT customer_id, first_name, last_name, country, city, age, marketing_channel, signup_date, total_orders, frequency AS valid_orders, gross_revenue, net_revenue, {_BUCKET} AS ltv_bucket, rfm_segment, churn_risk, total_tickets, open_tickets, total_web_events
+    "m11_customer_sample": f"""SELECT customer_id, first_name, last_name, country, city, age, marketing_channel, signup_date, total_orders, frequency AS valid_orders, gross_revenue, net_revenue, {BUCKET_SQL} AS ltv_bucket, rfm_segment, churn_risk, total_tickets, open_tickets, total_web_events
 FROM g_customer_360 WHERE {{cust}} ORDER BY net_revenue DESC, customer_id LIMIT 25""",
 }
 FILTERS = {"channels": ["web", "pos"], "months": ("1996-01-01", "1998-12-01"), "acq_channels": ["building", "machinery"], "churn_risks": ["low", "high"], "search": "User.1"}

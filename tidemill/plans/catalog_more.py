@@ -17,7 +17,7 @@ from ..sources.scratch import scratch
 from ..sources.versioned import Store
 from ..streaming import ingest, monitor, producer
 from . import gold, marts, quality, silver, verify
-from .catalog import ORACLE, QUERIES, add
+from .catalog import BUCKET_SQL, ORACLE, QUERIES, add
 from .context import Context, driver_context
 from .oracle import oracle
 
@@ -30,7 +30,7 @@ add("pf05_in_list", lambda c: c("gold.customer_360").filter(F.col("churn_risk").
 add("pf06_between", lambda c: c("bronze.orders").filter(F.col("order_date").between(dt.date(1996, 1, 1), dt.date(1996, 12, 31)) & ~F.col("total_amount").between(1, 100000)).select("order_id"), "SELECT order_id FROM b_orders WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND total_amount NOT BETWEEN 1 AND 100000")
 add("pf07_boolean_logic", lambda c: c("silver.fct_support_tickets").filter((F.col("has_linked_order") & ~F.col("linked_order_valid")) | (F.col("status") == "open")).select("ticket_id"), "SELECT ticket_id FROM s_fct_support_tickets WHERE (has_linked_order AND NOT linked_order_valid) OR status = 'open'")
 add("pf08_search", lambda c: c("gold.customer_360").filter(marts.customer_filter({"search": "USER.12"})).select("customer_id"), "SELECT customer_id FROM g_customer_360 WHERE contains(lower(concat_ws(' ', first_name, last_name, email, customer_id)), 'user.12')")
-add("pf09_case_bucket", lambda c: c("gold.customer_360").select("customer_id", fn.bucket_revenue(F.col("net_revenue")).alias("bucket")), "SELECT customer_id, CASE WHEN net_revenue <= 0 THEN '0. no revenue' WHEN net_revenue < 50 THEN '1. < 50' WHEN net_revenue < 250 THEN '2. 50-250' WHEN net_revenue < 500 THEN '3. 250-500' WHEN net_revenue < 1000 THEN '4. 500-1k' WHEN net_revenue < 2500 THEN '5. 1k-2.5k' WHEN net_revenue < 5000 THEN '6. 2.5k-5k' ELSE '7. 5k+' END AS bucket FROM g_customer_360")
+add("pf09_case_bucket", lambda c: c("gold.customer_360").select("customer_id", fn.bucket_revenue(F.col("net_revenue")).alias("bucket")), f"SELECT customer_id, {BUCKET_SQL} AS bucket FROM g_customer_360")
 add("pf10_case_without_else", lambda c: c("gold.customer_360").select("customer_id", F.when(F.col("total_orders") > 3, F.col("recency_days")).alias("recency_of_regulars")), "SELECT customer_id, CASE WHEN total_orders > 3 THEN recency_days END AS recency_of_regulars FROM g_customer_360")
 add("pf11_boolean_values", lambda c: c("silver.fct_orders").select("order_id", (F.col("is_cancelled") != F.col("is_payment_succeeded")).alias("either"), (F.col("order_status") == F.col("channel")).alias("same")), "SELECT order_id, is_cancelled <> is_payment_succeeded AS either, order_status = channel AS same FROM s_fct_orders")
 add("pf12_conjunction", lambda c: c("gold.revenue_by_channel").filter(marts.revenue_filter({"channels": [], "months": ("1997-01-01", "1997-06-01")})).select("month", "channel"), "SELECT month, channel FROM g_revenue_by_channel WHERE month BETWEEN DATE '1997-01-01' AND DATE '1997-06-01'")

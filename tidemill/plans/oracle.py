@@ -37,7 +37,9 @@ def _figures(gross: str = "m.gross", refunds: str = "coalesce(r.refunds, 0)") ->
   {_aov(gross, 'm.valid_orders')} AS aov, round(CAST(m.returned_orders AS DOUBLE) / m.orders, 6) AS return_rate, round(CAST(m.cancelled_orders AS DOUBLE) / m.orders, 6) AS cancel_rate"""
 
 
-_COUNTS = "count(*) AS orders, count(*) FILTER (WHERE is_completed) AS completed_orders, count(*) FILTER (WHERE is_returned) AS returned_orders, count(*) FILTER (WHERE is_cancelled) AS cancelled_orders, count(*) FILTER (WHERE NOT is_cancelled) AS valid_orders"
+_STATES = ("completed", "returned", "cancelled")
+_COUNTS = ", ".join(["count(*) AS orders", *[f"count(*) FILTER (WHERE is_{x}) AS {x}_orders" for x in _STATES], "count(*) FILTER (WHERE NOT is_cancelled) AS valid_orders"])
+_NONE = ", ".join(["coalesce(o.orders, 0) AS total_orders", *[f"coalesce(o.{x}_orders, 0) AS {x}_orders" for x in (*_STATES, "valid")]])
 _MONTH = "CAST(date_trunc('month', {d}) AS DATE)"
 
 CTES: dict[str, str] = {name: adapter.plain(sql).strip() for name, sql in adapter.VIEWS.items()}
@@ -72,7 +74,7 @@ FROM b_refunds r JOIN b_orders o USING (order_id)""",
 FROM b_support_tickets t""",
     "x_gaps": """SELECT customer_id, avg(order_date - prev) AS gap FROM (SELECT customer_id, order_date, lag(order_date) OVER (PARTITION BY customer_id ORDER BY order_date) AS prev FROM (SELECT DISTINCT customer_id, order_date FROM s_fct_orders))
 WHERE prev IS NOT NULL GROUP BY customer_id""",
-    "x_base": f"""SELECT c.*, coalesce(o.orders, 0) AS total_orders, coalesce(o.completed_orders, 0) AS completed_orders, coalesce(o.returned_orders, 0) AS returned_orders, coalesce(o.cancelled_orders, 0) AS cancelled_orders, coalesce(o.valid_orders, 0) AS valid_orders,
+    "x_base": f"""SELECT c.*, {_NONE},
   o.first_order_date, o.last_order_date, CAST(coalesce(o.gross, 0) AS DECIMAL(14,2)) AS gross_revenue, CAST(coalesce(r.refunded, 0) AS DECIMAL(14,2)) AS total_refunded, CAST(coalesce(o.gross, 0) - coalesce(r.refunded, 0) AS DECIMAL(14,2)) AS net_revenue,
   CAST(coalesce(o.items, 0) AS BIGINT) AS items_purchased, CAST((SELECT max(order_date) FROM s_fct_orders) - o.last_order_date AS BIGINT) AS recency_days, coalesce(g.gap, (SELECT coalesce(avg(gap), 1.0) FROM x_gaps)) AS gap,
   coalesce(t.n, 0) AS total_tickets, coalesce(t.open, 0) AS open_tickets, coalesce(e.n, 0) AS total_web_events, coalesce(e.carts, 0) AS cart_adds, e.last_event_date
