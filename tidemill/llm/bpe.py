@@ -99,8 +99,12 @@ class Vocabulary:
         for s, i in self.ids.items():
             self.length[i] = len(s)
         self._automaton(self.ids)
-        # A token that its own symbols are not encoded as stands in no encoding.
-        whole = {s: i for s, i in self.ids.items() if self.parts[i] is None or self.compatible(*self.parts[i], but=self.rank[i])}
+        # A token that its own symbols are not encoded as, or with such a part, stands in no encoding.
+        self.whole = bytearray(self.n)
+        for i in sorted(self.ids.values(), key=self.rank.__getitem__):
+            parts = self.parts[i]
+            self.whole[i] = parts is None or (self.whole[parts[0]] and self.whole[parts[1]] and self.compatible(*parts, but=self.rank[i]))
+        whole = {s: i for s, i in self.ids.items() if self.whole[i]}
         if len(whole) < len(self.ids):
             self._automaton(whole)
         self.texts = OffsetTable([s for s, _ in sorted(strings.items(), key=lambda t: t[1])], [i for _, i in sorted(strings.items(), key=lambda t: t[1])])

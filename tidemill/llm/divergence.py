@@ -80,7 +80,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _p(count: Column, total: Column, kept: Column) -> Column:
-    return F.call_function("div", F.lit(SCALE) * (count + 1), total + kept) + 1
+    # Without kept terms there is nothing to divide by, and no term to sum over.
+    return F.call_function("div", F.lit(SCALE) * (count + 1), F.greatest(total + kept, F.lit(1))) + 1
 
 
 def _f(p: Column, q: Column) -> Column:
