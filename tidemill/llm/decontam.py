@@ -11,6 +11,11 @@ placeholders stand for must map to the document's words one to one, so that a qu
 with other numbers or names is still found, and a passage that only has the same shape
 is not.
 
+Case tells names, so a copy in capitals or small letters alone has another template:
+items are looked for a second time with names as words.  An item of hardly more than
+placeholders is looked for by its words, and windows of placeholders alone are asked for
+only where an item's other windows are.
+
 An item of fewer than five words is a single window and is found in texts that are as
 short, not inside longer ones: its wording alone proves nothing there.
 """
@@ -63,8 +68,14 @@ def _among(known: np.ndarray, words: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template word hashes, hashes of the words themselves, first word of each row)."""
+#: Template words up to it are placeholders.
+_PLACEHOLDERS = U64(16)
+#: Forms in which texts are compared: names, numbers and units as placeholders; names as words, so that case says nothing; words alone.
+CASED, UNCASED, VERBATIM = range(3)
+
+
+def forms(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(template word hashes in each form, hashes of the words themselves, first word of each row)."""
     kind = _KIND[data]
     inside = kind > 0
     # Points and commas between digits belong to the number.
@@ -73,10 +84,13 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         inside[1:-1] |= joint
     starts, ends, first = arrowtext.runs(inside, offsets)
     lower = arrowtext.LOWER[data]
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1  # capitals of Latin-1: two bytes, of which the second tells the case
+    accented = accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E) & (data[accented] != 0x97)]
+    lower[accented] += 0x20
     word = arrowtext.run_hashes(lower, starts, ends)
     n = len(starts)
     if not n:
-        return word, word, first
+        return [word, word, word], word, first
     number = kind[starts] == 2
     two = np.where(starts + 1 < len(data), data[np.minimum(starts + 1, len(data) - 1)], 0)
     capital = ((data[starts] >= 65) & (data[starts] <= 90)) | ((data[starts] == 0xC3) & (two >= 0x80) & (two <= 0x9E))
@@ -85,7 +99,14 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after_number[1:] = number[:-1]
     after_number[first[:-1][first[:-1] < n]] = False
     unit = after_number & _among(_unit_hashes, word)
-    return np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, word))), word, first
+    uncased = np.where(number, _NUMBER, np.where(unit, _UNIT, word))
+    return [np.where(name & ~unit, _NAME, uncased), uncased, word], word, first
+
+
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template word hashes with names as placeholders, hashes of the words themselves, first word of each row)."""
+    found, word, first = forms(data, offsets)
+    return found[CASED], word, first
 
 
 def windows(template: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +120,33 @@ def windows(template: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, rows, at
 
 
+def bare(template: np.ndarray, first: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows hold placeholders alone."""
+    words = np.concatenate([[0], np.cumsum(template > _PLACEHOLDERS)])
+    begin = first[rows] + at
+    return words[np.minimum(begin + WINDOW, first[rows + 1])] == words[begin]
+
+
+def item_windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(form, is the item looked for in it, hash, row, position and bareness of each window) for each form.
+
+    An item most of whose windows are placeholders alone has no wording to be known by: it
+    is looked for by its words.  Others are by their template, and by the one with names as
+    words too where that is another one.
+    """
+    found, _, first = forms(data, offsets)
+    h, rows, at = windows(found[CASED], first)
+    empty = bare(found[CASED], first, rows, at)
+    n = len(offsets) - 1
+    shapeless = 2 * np.bincount(rows[empty], minlength=n) > np.bincount(rows, minlength=n)
+    differ = np.concatenate([[0], np.cumsum(found[CASED] != found[UNCASED])])
+    named = differ[first[1:]] > differ[first[:-1]]
+    yield CASED, ~shapeless, h, rows, at, empty
+    for form, used in ((UNCASED, named & ~shapeless), (VERBATIM, shapeless)):
+        h, rows, at = windows(found[form], first)
+        yield form, used, h, rows, at, bare(found[form], first, rows, at)
+
+
 def _aligned(pairs: list[tuple[int, int]], shift: int) -> dict[int, int]:
     """Item words to document words, one to one and in order: windows at ``shift`` first, others (insertions) where these leave gaps."""
     to: dict[int, int] = {}
@@ -115,63 +163,99 @@ def _aligned(pairs: list[tuple[int, int]], shift: int) -> dict[int, int]:
 
 
 def _agree(item_t: np.ndarray, item_w: np.ndarray, doc_w: np.ndarray, to: dict[int, int]) -> tuple[int, bool]:
-    """(slots compared, whether item words and document words in slots map one to one).
-
-    An item most of whose windows are placeholders alone has no wording to be known by:
-    its words have to be the same.
-    """
-    free = np.convolve(item_t <= 16, np.ones(min(WINDOW, len(item_t)), int), "valid") == min(WINDOW, len(item_t))
-    same = 2 * free.sum() > len(free)
+    """(slots compared, whether item words and document words in slots map one to one)."""
     forth: dict[int, int] = {}
     back: dict[int, int] = {}
     clashes = slots = 0
     for p, q in sorted(to.items()):
-        if p >= len(item_t) or q >= len(doc_w) or item_t[p] > 16:
+        if p >= len(item_t) or q >= len(doc_w) or item_t[p] > _PLACEHOLDERS:
             continue
         slots += 1
         a, b = int(item_w[p]), int(doc_w[q])
-        if (same and a != b) or forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
+        if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
             clashes += 1
     return slots, clashes * 5 <= slots
 
 
-class Index:
-    """The benchmark's windows, sorted by hash."""
+class _Windows:
+    """Windows of the items that are looked for in one form, sorted by hash; those of placeholders alone by item."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        raw = [(t or "").encode() for _, t in items]
-        offsets = np.cumsum([0, *map(len, raw)])
-        self.template, self.word, self.first = templates(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        h, rows, at = windows(self.template, self.first)
+    def __init__(self, h: np.ndarray, row: np.ndarray, at: np.ndarray, empty: np.ndarray):
+        self.bare: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero(empty):
+            self.bare.setdefault(int(row[i]), {}).setdefault(int(h[i]), []).append(int(at[i]))
+        h, row, at = h[~empty], row[~empty], at[~empty]
         order = np.argsort(h, kind="stable")
-        self.hash, self.row, self.at = h[order], rows[order], at[order]
-        self.need = np.bincount(rows, minlength=len(items))
+        self.hash, self.row, self.at = h[order], row[order], at[order]
         # Few windows are looked up at once; for many, a table of the first bits spares most lookups.
         self.filter = None
         if len(h) > 4096:
             self.filter = np.zeros(1 << 20, bool)
             self.filter[(self.hash >> U64(44)).astype(np.int64)] = True
 
+    def hits(self, need: np.ndarray, h: np.ndarray, rows: np.ndarray, at: np.ndarray, empty: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(row of a text, item, its hits: position in the text, in the item, hash) where an item may stand.
+
+        Windows of placeholders alone stand nearly everywhere, so they are asked for only
+        where those with words suffice for the item together with them.
+        """
+        worded = ~empty if self.filter is None else ~empty & self.filter[(h >> U64(44)).astype(np.int64)]
+        k = np.flatnonzero(worded)
+        lo, hi = np.searchsorted(self.hash, h[k], "left"), np.searchsorted(self.hash, h[k], "right")
+        times = hi - lo
+        if not times.any():
+            return
+        m, j = np.repeat(k, times), np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+        row, item = rows[m], self.row[j]
+        order = np.lexsort([at[m], item, row])
+        m, j, row, item = m[order], j[order], row[order], item[order]
+        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+        e = np.flatnonzero(empty)
+        e = e[np.argsort(rows[e], kind="stable")]
+        for a, b in zip(heads, np.append(heads[1:], len(row)), strict=True):
+            r, i = int(row[a]), int(item[a])
+            own = self.bare.get(i, {})
+            least = SHARE * need[i] - sum(map(len, own.values()))
+            if b - a < least or len(np.unique(at[m[a:b]])) < least:
+                continue
+            got = list(zip(at[m[a:b]].tolist(), self.at[j[a:b]].tolist(), h[m[a:b]].tolist(), strict=True))
+            if own:
+                near = e[np.searchsorted(rows[e], r, "left") : np.searchsorted(rows[e], r, "right")]
+                got += [(q, p, x) for x, places in own.items() for q in at[near[h[near] == U64(x)]].tolist() for p in places]
+            yield r, i, got
+
+
+class Index:
+    """The benchmark's windows in every form."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids = [i for i, _ in items]
+        raw = [(t or "").encode() for _, t in items]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        self.template, self.word, self.first = forms(data, offsets)
+        self.windows: list[_Windows] = []
+        for _, used, h, rows, at, empty in item_windows(data, offsets):
+            mine = used[rows]
+            self.windows.append(_Windows(h[mine], rows[mine], at[mine], empty[mine]))
+            self.need = np.bincount(rows, minlength=len(items))  # as many in each form
+
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
-        """(row, item_id, first word, windows found, share, slots) for every item held by a text."""
-        template, word, first = templates(data, offsets)
-        h, rows, at = windows(template, first)
-        maybe = np.arange(len(h)) if self.filter is None else np.flatnonzero(self.filter[(h >> U64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for k in np.flatnonzero(hi > lo):
-            m = maybe[k]
-            for j in range(lo[k], hi[k]):
-                hits.setdefault((int(rows[m]), int(self.row[j])), []).append((int(at[m]), int(self.at[j]), int(h[m])))
-        found = []
-        for (row, item), got in sorted(hits.items()):
-            span = slice(self.first[item], self.first[item + 1])
-            held = self._held(got, int(self.need[item]), span.stop - span.start, self.template[span], self.word[span], word[first[row] : first[row + 1]])
-            if held:
-                at, n, slots = held
-                found.append((row, self.ids[item], at, n, n / int(self.need[item]), slots))
-        return found
+        """(row, item_id, first word, windows found, share, slots) for every item held by a text, in the first form that holds it."""
+        template, word, first = forms(data, offsets)
+        found: dict[tuple[int, int], tuple[int, int, int, int, float, int]] = {}
+        for form, mine in enumerate(self.windows):
+            if not len(mine.hash):
+                continue
+            h, rows, at = windows(template[form], first)
+            for row, item, got in mine.hits(self.need, h, rows, at, bare(template[form], first, rows, at)):
+                if (row, item) in found:
+                    continue
+                span = slice(self.first[item], self.first[item + 1])
+                held = self._held(got, int(self.need[item]), span.stop - span.start, self.template[form][span], self.word[span], word[first[row] : first[row + 1]])
+                if held:
+                    start, n, slots = held
+                    found[row, item] = (row, self.ids[item], start, n, n / int(self.need[item]), slots)
+        return [found[k] for k in sorted(found)]
 
     @staticmethod
     def _held(got: list[tuple[int, int, int]], need: int, length: int, item_t: np.ndarray, item_w: np.ndarray, doc_w: np.ndarray) -> tuple[int, int, int] | None:
@@ -309,9 +393,9 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     fewest items have; only these are joined, and candidate pairs of texts are compared.
     """
     items = tables.written(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    listed = tables.written(items.mapInArrow(_item_windows, "item bigint, h bigint, n bigint, need bigint"), "item-windows")
+    listed = tables.written(items.mapInArrow(_item_windows, "item bigint, form int, h bigint, n bigint, need bigint"), "item-windows")
     common = listed.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
-    rarest = Window.partitionBy("item").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rarest = Window.partitionBy("item", "form").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = listed.join(common, "h").withColumn("before", F.sum("n").over(rarest) - F.col("n"))
     chosen = tables.written(ranked.filter(F.col("before") <= F.floor(F.col("need") * F.lit(1 - SHARE) + F.lit(1e-6))).select("h", "item"), "rare-windows")
 
@@ -324,11 +408,16 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in arrowtext.chunks(batch):
-                template, _, first = templates(data, offsets)
-                h, rows_, _ = windows(template, first)
-                at = (h >> U64(64 - _BITS)).astype(np.int64)
-                maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                pairs = np.unique(np.stack([rows_[maybe], h[maybe].view(np.int64)]), axis=1)
+                template, _, first = forms(data, offsets)
+                hits_ = []
+                for form in (CASED, UNCASED, VERBATIM):
+                    h, rows_, at = windows(template[form], first)
+                    worded = ~bare(template[form], first, rows_, at)
+                    h, rows_ = _of_form(h[worded], form), rows_[worded]
+                    at = (h >> U64(64 - _BITS)).astype(np.int64)
+                    maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                    hits_.append(np.stack([rows_[maybe], h[maybe].view(np.int64)]))
+                pairs = np.unique(np.concatenate(hits_, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(pairs[0], pa.int64())), pa.array(pairs[1], pa.int64())], names=["key", "h"])
 
     hits = rows.filter("text is not null").mapInArrow(probe, "key bigint, h bigint")
@@ -348,12 +437,18 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, _FOUND_DDL).withColumnRenamed("doc_id", "key")
 
 
+def _of_form(h: np.ndarray, form: int) -> np.ndarray:
+    """Windows' hashes that differ by form."""
+    return arrowtext.mix(h, 40 + form) if form else h
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, window, times in it, all windows of the item)."""
+    """(item, form, window, times in it, all windows of the item), without windows of placeholders alone."""
     for batch in batches:
         for part, data, offsets in arrowtext.chunks(batch):
-            template, _, first = templates(data, offsets)
-            h, rows, _ = windows(template, first)
-            need = np.bincount(rows, minlength=part.num_rows)
-            pairs, n = np.unique(np.stack([rows, h.view(np.int64)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(pairs[0], pa.int64())), pa.array(pairs[1], pa.int64()), pa.array(n, pa.int64()), pa.array(need[pairs[0]], pa.int64())], names=["item", "h", "n", "need"])
+            for form, used, h, rows, _, empty in item_windows(data, offsets):
+                need = np.bincount(rows, minlength=part.num_rows)
+                mine = used[rows] & ~empty
+                pairs, n = np.unique(np.stack([rows[mine], _of_form(h[mine], form).view(np.int64)]), axis=1, return_counts=True)
+                forms_ = pa.array(np.full(len(n), form, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(pairs[0], pa.int64())), forms_, pa.array(pairs[1], pa.int64()), pa.array(n, pa.int64()), pa.array(need[pairs[0]], pa.int64())], names=["item", "form", "h", "n", "need"])
