@@ -42,7 +42,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[tuple] = []
-        for conv, no, new, target, context_chars, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv, _, no, new, target, context_chars, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if conv != now:
                 if now is not none:
                     out.append(row())
