@@ -5,7 +5,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from tidemill.llm import neardup, substrings, tables
+from tidemill.llm import neardup, packing, substrings, tables
 from tidemill.llm.components import components
 
 DOCS = "doc_id bigint, text string"
@@ -121,5 +121,23 @@ def test_repeats(spark, window):
     assert substrings.remove_repeats(df.limit(0), window=window).count() == 0
 
 
+def test_repeats_without_ids(spark):
+    """A third of the rows without an id: they keep their words and others theirs."""
+    rows = [(i if i % 3 else None, " ".join(f"w{(i // 6) * 7 + j}" for j in range(60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = substrings.remove_repeats(df, window=50)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_repeats(rows, 50)
+    assert sorted(r[0] for r in got.filter("doc_id is null").select("text").collect()) == sorted(t for i, t in rows if i is None)
+
+
+def test_keys_of_two_hashes():
+    first, second = np.array([5, 1, 5, 1, 5, 9], np.uint64), np.array([1, 2, 2, 2, 1, 0], np.uint64)
+    order, heads = packing.by_keys(first, second)
+    groups = {frozenset(order[a:b].tolist()) for a, b in zip(heads, [*heads[1:], 6], strict=True)}
+    assert groups == {frozenset({1, 3}), frozenset({0, 4}), frozenset({2}), frozenset({5})}
+    order, heads = packing.by_keys(first, first)
+    assert len(heads) == 3
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

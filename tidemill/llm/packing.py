@@ -57,3 +57,16 @@ def by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def by_keys(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of keys."""
+    order, heads = by_key(first)
+    again = np.ones(len(first), bool)
+    again[heads] = False
+    ordered = second[order]
+    if (again[1:] & (ordered[1:] != ordered[:-1])).any():  # one first key with several second ones
+        order = np.lexsort([second, first])
+        a, b = first[order], second[order]
+        heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order, heads

@@ -15,7 +15,7 @@ are sent: what is a hit already among the places of one task asks for no answer.
 texts that meet in one batch send only the one with the smallest doc_id.
 
 Blocks are compared by 32 bits and the group's number, where a chance hit only costs
-a comparison; windows by 64 bits and the group's number.
+a comparison; windows by two independent hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def _match_blocks(window: int, groups: int, n_homes: int):
 def _match_windows(n_homes: int):
     def run(table: pa.Table) -> pa.Table:
         doc, mark, at, key = packing.unpack_entries(table, U64)
-        order, heads = packing.by_key(key)
+        order, heads = packing.by_keys(*key.reshape(-1, 2).T)
         d = doc[order]
         lowest = np.minimum.reduceat(d, heads) if len(d) else d
         hit = np.sort(order[np.repeat(lowest, np.diff(np.append(heads, len(d)))) < d])
@@ -181,7 +181,7 @@ def _candidates(window: int, groups: int, with_text: bool, out_schema: pa.Schema
                 marks, ids, n = _marks(hashes, first), part.column("doc_id").to_pylist(), np.diff(first)
                 sha, removed, text = [], [], []
                 for i, doc in enumerate(ids):
-                    at = found.get((doc, 0)) if doc is not None and n[i] >= window else None
+                    at = found.get((doc, 0)) if n[i] >= window else None
                     if (doc, int(marks[i])) in found:  # a copy of a text with a smaller doc_id
                         sha.append(sha256(b"").hexdigest())
                         removed.append(int(n[i]))
@@ -195,7 +195,7 @@ def _candidates(window: int, groups: int, with_text: bool, out_schema: pa.Schema
                         lo = np.maximum(at - (window - window // 2), 0)
                         starts = np.flatnonzero(_between(lo[lo < windows], np.minimum(at[lo < windows], windows - 1), windows))
                         own = hashes[first[i] : first[i + 1]]
-                        w_key.append(arrowtext.run_hashes(own, starts, starts + window))
+                        w_key.append(np.stack([arrowtext.run_hashes(x, starts, starts + window) for x in (own, arrowtext.mix(own, 9))], axis=1))
                         w_doc.append(np.full(len(starts), doc, np.int64))
                         w_mark.append(np.full(len(starts), marks[i], U64))
                         w_at.append(starts)
@@ -206,7 +206,7 @@ def _candidates(window: int, groups: int, with_text: bool, out_schema: pa.Schema
                 out.append(pa.RecordBatch.from_arrays([rows[f] for f in out_schema.names], schema=out_schema))
         if w_key:
             key = np.concatenate(w_key)
-            packed = _rows((arrowtext.mix(key, 5) % U64(groups)).astype(np.int64), groups, np.concatenate(w_doc), np.concatenate(w_mark), np.concatenate(w_at), key)
+            packed = _rows((arrowtext.mix(key[:, 0], 5) % U64(groups)).astype(np.int64), groups, np.concatenate(w_doc), np.concatenate(w_mark), np.concatenate(w_at), key)
             rows = blank(packed.num_rows) | {c: packed.column(c) for c in _PACKED.names} | {"is_doc": pa.array([False] * packed.num_rows)}
             out.append(pa.RecordBatch.from_arrays([rows[f] for f in out_schema.names], schema=out_schema))
         return pa.Table.from_batches(out, schema=out_schema)
@@ -281,7 +281,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, with_text: bool = Tru
     with tables.temporary(spark):
         probes = slim.mapInArrow(_probe(window, groups, n_homes), _PACKED_DDL)
         found = tables.written(probes.groupBy("grp").applyInArrow(_match_blocks(window, groups, n_homes), _PACKED_DDL), "block-hits")
-        placed = docs.mapInArrow(_with_home(n_homes, to_arrow_schema(base)), _joined(base, home))
+        placed = docs.filter("doc_id is not null").mapInArrow(_with_home(n_homes, to_arrow_schema(base)), _joined(base, home))
         both = _joined(base, home, result, packed)
         both = placed.groupBy("home").cogroup(found.withColumnRenamed("grp", "home").groupBy("home")).applyInArrow(_candidates(window, parts, with_text, to_arrow_schema(both)), both)
         both = tables.stay(both, "window-candidates")
@@ -292,7 +292,26 @@ def remove_repeats(documents: DataFrame, window: int = 50, with_text: bool = Tru
     out = _joined(base, result)
     settled = waiting.groupBy("home").cogroup(repeated.withColumnRenamed("grp", "home").groupBy("home")).applyInArrow(_settle(window, with_text, to_arrow_schema(out)), out)
     done = both.filter("is_doc and n_removed is not null").select("doc_id", "text", "extra", "n_words", "n_removed", "kept_sha256")
-    return done.unionByName(settled)
+    # Rows without an id need no match, and together they would be one hot group.
+    free = docs.filter("doc_id is null").mapInArrow(_untouched(with_text, to_arrow_schema(out)), out)
+    return done.unionByName(settled).unionByName(free)
+
+
+def _untouched(with_text: bool, out_schema: pa.Schema):
+    """Rows that lose nothing, with their counts and digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in arrowtext.chunks(batch):
+                raw, n = data.tobytes(), part.num_rows
+                words = [raw[offsets[i] : offsets[i + 1]].split() for i in range(n)]
+                found = {
+                    "doc_id": part.column("doc_id"), "text": part.column("text") if with_text else pa.nulls(n, pa.string()), "extra": part.column("extra"),
+                    "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([0] * n, pa.int64()), "kept_sha256": pa.array([sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([found[f.name].cast(f.type) for f in out_schema], schema=out_schema)
+
+    return run
 
 
 def _joined(*parts: T.StructType) -> T.StructType:
@@ -313,7 +332,7 @@ def _nullable(kind: T.DataType) -> T.DataType:
 def _with_home(groups: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([0 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             home = pa.array(homes(ids, groups).astype(np.int32))
             columns = [c.cast(t) for c, t in zip(batch.columns, schema.types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, home], names=[*schema.names, "home"])
