@@ -31,6 +31,7 @@ def test_language(spark, sf):
     assert {x["doc_id"] for x in langid.keep_identified(odd, model).collect()} >= {4} and langid.keep_identified(odd, model).columns == odd.columns
     assert langid.predict(odd.limit(0), model).count() == 0
     assert langid.fit(docs.limit(0)) is None and langid.predict(odd, None).filter("lang_pred <> 'und'").count() == 0
+    assert {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame([(1, None), (2, "1 2"), (3, "a word"), (4, "")], "doc_id bigint, text string"), None).collect()} == {3}  # no labels, no loss
 
 
 def test_quality(spark, sf):

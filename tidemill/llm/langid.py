@@ -246,7 +246,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of documents, all columns, whose text is not rejected."""
+    """The rows of documents, all columns, whose text is not rejected; without a model every text with a letter stays, as nothing tells it apart."""
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +255,4 @@ def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
                 _, letters, unusual = model.logits(data, offsets)
                 yield part.filter(pa.array((letters > 0) & ~unusual))
 
-    return documents.mapInArrow(run, schema) if model else documents.filter(F.lit(False))
+    return documents.mapInArrow(run, schema) if model else documents.filter(F.col("text").cast("string").rlike(r"\p{L}"))
