@@ -11,7 +11,7 @@ import __spark_entry__
 from tidemill.plans import catalog, catalog_fresh, catalog_more, catalog_ops  # noqa: F401
 
 INPUTS = "region nation customer supplier part orders lineitem events".split()
-FRESH = ["u04_incremental_orders", "u04_refresh_report", "w03_tile_ends", "st04_replayed_batch", "st12_recorded_states", "dq02_bitmap_keys", "dq05_bitmap_parents", "dq04_footer_ranges", "dq_report_behind", "v07_verify_serving", "rollup_m05_ltv_distribution", "rollup_m04_kpi_aov_filtered", "s09_salted_tickets", "j03_salted_hot_key", "pf08_gram_search_short"]
+FRESH = ["u04_incremental_orders", "u04_incremental_order_items", "u04_refresh_report", "w03_tile_ends", "st04_replayed_batch", "st12_recorded_states", "dq02_bitmap_keys", "dq05_bitmap_parents", "dq04_footer_ranges", "dq_report_behind", "v07_verify_serving", "rollup_m05_ltv_distribution", "rollup_m04_kpi_aov_filtered", "s09_salted_tickets", "j03_salted_hot_key", "pf08_gram_search_short"]
 CHOSEN = FRESH + ["s04_fct_orders", "s05_fct_order_items", "g01_customer_360", "g02_revenue_by_channel", "g03_revenue_by_category", "g04_monthly_kpis", "m11_customer_sample_filtered", "m13_filter_options", "s10_pre_stats", "s10_post_stats", "dq16_stream_fk", "dq23_revenue_invariant", "j07_not_exists_or", "a14_stddev", "f18_row_digest", "s04_raw_item_union", "io08_catalog", "io11_register_stream", "io17_result_cache", "st05_replay", "st08_interleaved", "v04_gold_figures", "dq_report"]
 
 

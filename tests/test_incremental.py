@@ -23,7 +23,7 @@ def both(spark, tmp_path):
     """A shop of 400 orders and its tables in blocks of 100 order numbers; three of four orders have been seen."""
     n = range(1, 401)
     ctx = shop(
-        spark, customers=[customer(i) for i in range(1, 21)], orders=[order(i, 1 + i % 22) for i in n if i % 2], stream_orders=[order(i, 1 + i % 22, status="cancelled") for i in n if i % 3 == 0],
+        spark, products=[(f"P{i}", f"Name {i}", "Toys", "Brand", 2.0) for i in (1, 2)], customers=[customer(i) for i in range(1, 21)], orders=[order(i, 1 + i % 22) for i in n if i % 2], stream_orders=[order(i, 1 + i % 22, status="cancelled") for i in n if i % 3 == 0],
         order_items=[item(i, i) for i in n if i % 2], stream_order_items=[item(i, i, "P2") for i in n if i % 3 == 0] + [item(1000 + i, i) for i in n if i % 9 == 0],
         payments=[payment(i, i) for i in n if i % 2], stream_payments=[payment(5000 - i, i, "failed") for i in n if i % 3 == 0],
     )
@@ -35,7 +35,7 @@ def pick(df):
 
 
 def same(tables, ctx):
-    return pick(tables.table("fct_orders").drop("block")) == pick(silver.fct_orders(ctx)) and pick(tables.table("fct_payments").drop("block")) == pick(silver.fct_payments(ctx))
+    return pick(tables.table("fct_orders").drop("block")) == pick(silver.fct_orders(ctx)) and pick(tables.table("fct_payments").drop("block")) == pick(silver.fct_payments(ctx)) and pick(tables.table("fct_order_items").drop("block")) == pick(silver.fct_order_items(ctx))
 
 
 def test_equals_a_full_merge(spark, both):
@@ -47,24 +47,38 @@ def test_equals_a_full_merge(spark, both):
     for t, s in streams.items():
         tables.append(t, s.filter(late), 2)
     assert tables.touched() == [3]
-    assert tables.refresh(ctx("bronze.customers")) == {"blocks": 1, "of": 4, "everything": False} and same(tables, ctx)
+    assert tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products")) == {"blocks": 1, "of": 4, "everything": False} and same(tables, ctx)
     assert untouched <= {f for f, _, _ in tables.files.listing(f"{tables.root}/fct_orders")}  # the same files as before
     # Nothing new; rows that come again; an order id of another form.
-    assert tables.refresh(ctx("bronze.customers"))["blocks"] == 0
+    assert tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["blocks"] == 0
     tables.append("orders", streams["orders"].filter("order_id = 'ORD-0000009'"), 2)
     tables.append("payments", ctx("bronze.payments").limit(0), 1)
-    assert tables.refresh(ctx("bronze.customers"))["blocks"] == 1 and same(tables, ctx)
+    assert tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["blocks"] == 1 and same(tables, ctx)
     odd = spark.createDataFrame([("no number", "C1", None, "completed", "web", 1.0), (None, "C1", None, "completed", "web", 1.0)], schema("orders"))
     tables.append("orders", odd, 2)
     ctx.tables["bronze.stream_orders"] = streams["orders"].union(odd)
-    assert tables.touched() == [-1] and tables.refresh(ctx("bronze.customers"))["of"] == 5 and same(tables, ctx)
+    assert tables.touched() == [-1] and tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["of"] == 5 and same(tables, ctx)
 
 
 def test_customers_decide_for_all_blocks(spark, both):
     ctx, tables = both
     incremental.start(tables, ctx)
     ctx.tables["bronze.customers"] = ctx("bronze.customers").union(ctx("bronze.customers")).filter("customer_id <> 'C3'")  # repeated rows do not multiply orders
-    assert tables.refresh(ctx("bronze.customers"))["everything"] and same(tables, ctx)
+    assert tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["everything"] and same(tables, ctx)
+
+
+def test_products_decide_for_all_items(spark, both):
+    ctx, tables = both
+    incremental.start(tables, ctx)
+    kept = {t: {f for f, _, _ in tables.files.listing(f"{tables.root}/{t}")} for t in ("fct_orders", "fct_order_items")}
+    renamed = ctx("bronze.products").withColumn("product_name", F.lit("Other")).filter("product_id <> 'P2'")
+    del ctx.tables["silver.dim_products"]
+    ctx.tables["bronze.products"] = renamed
+    done = tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))
+    assert done == {"blocks": 0, "of": 4, "everything": False} and same(tables, ctx)
+    assert tables.table("fct_order_items").select("product_name").distinct().collect() == [("Other",)]
+    now = {t: {f for f, _, _ in tables.files.listing(f"{tables.root}/{t}")} for t in kept}
+    assert now["fct_orders"] == kept["fct_orders"] and now["fct_order_items"] != kept["fct_order_items"]
 
 
 def test_plan_has_no_exchange_by_order_and_reads_touched_blocks(spark, both):
@@ -72,7 +86,7 @@ def test_plan_has_no_exchange_by_order_and_reads_touched_blocks(spark, both):
     incremental.start(tables, ctx)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a small table would hide an exchange
     try:
-        for df in tables.build(ctx("bronze.customers"), [2]).values():
+        for df in [*tables.build(ctx("bronze.customers"), [2]).values(), tables.build_items(ctx("silver.dim_products"), [2])]:
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "hashpartitioning(order_id" not in plan and plan.count("hashpartitioning") <= 2  # by customer, both sides
             filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
@@ -89,7 +103,7 @@ def test_another_session_goes_on(spark, both):
     later.attach()
     assert later.refreshes() == 1 and same(later, ctx)
     later.append("orders", spark.createDataFrame([order(7, 1), order(9_000_000, 2)], schema("orders")), 2)
-    assert later.touched() == [0, 90_000] and later.refresh(ctx("bronze.customers"))["blocks"] == 2
+    assert later.touched() == [0, 90_000] and later.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["blocks"] == 2
     ctx.tables["bronze.stream_orders"] = ctx("bronze.stream_orders").union(spark.createDataFrame([order(9_000_000, 2)], schema("orders")))
     assert same(later, ctx)
 
@@ -109,9 +123,9 @@ def test_a_refresh_that_failed_is_done_again(spark, both, monkeypatch):
 
     monkeypatch.setattr(incremental.OrderTables, "_replace", fails)
     with pytest.raises(OSError):
-        tables.refresh(ctx("bronze.customers"))
+        tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))
     monkeypatch.undo()
-    assert tables.touched() == [0, 1, 2, 3] and tables.refresh(ctx("bronze.customers"))["blocks"] == 4 and same(tables, ctx)
+    assert tables.touched() == [0, 1, 2, 3] and tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["blocks"] == 4 and same(tables, ctx)
 
 
 def test_empty(spark, tmp_path):

@@ -39,12 +39,12 @@ def refreshed(spark: SparkSession, sf_dir: str) -> tuple[incremental.OrderTables
     done = [incremental.start(tables, ctx, {t: s.filter(~late) for t, s in streams.items()})]
     for t, s in streams.items():
         tables.append(t, s.filter(late), 2)
-    done.append(tables.refresh(ctx("bronze.customers")))
-    done.append(tables.refresh(ctx("bronze.customers")))
+    for _ in range(2):
+        done.append(tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products")))
     return tables, done
 
 
-for _name, _fact in (("u04_incremental_orders", "fct_orders"), ("u04_incremental_payments", "fct_payments")):
+for _name, _fact in (("u04_incremental_orders", "fct_orders"), ("u04_incremental_payments", "fct_payments"), ("u04_incremental_order_items", "fct_order_items")):
     own(_name)(lambda spark, sf_dir, f=_fact: refreshed(spark, sf_dir)[0].table(f).drop("block"))
     sql(_name, f"SELECT * FROM s_{_fact}")
 

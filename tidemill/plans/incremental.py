@@ -7,8 +7,10 @@ arrive are appended, and the blocks that they fall in are noted; a refresh reads
 blocks of the raw tables and writes these blocks of the facts, by dynamic partition
 overwrite, and leaves all others alone.
 
-An order depends on its own rows and on whether its customer is known.  Customers are kept
-as they were at the last refresh: if they differ now, every block is computed again.
+An order depends on its own rows and on whether its customer is known, and its items on
+their products.  Digests of customers and products are kept from the last refresh: if
+customers differ now, every block is computed again, and if products do, every block of
+items.  An item id belongs to one order, as everything about an order lies in its block.
 
 State is on disk: tables, the log of changes and that of refreshes.  ``attach`` makes a
 new session know tables that an earlier one wrote.  A block is noted before its rows are
@@ -31,7 +33,7 @@ from . import silver
 from .context import Context
 
 RAW = ("orders", "order_items", "payments")
-FACTS = {"orders": "fct_orders", "payments": "fct_payments"}
+FACTS = {"orders": "fct_orders", "payments": "fct_payments", "order_items": "fct_order_items"}
 #: Orders numbered in a block, and buckets of a block.
 BLOCK, BUCKETS = 50_000, 8
 
@@ -89,20 +91,28 @@ class OrderTables:
         payments = silver.payments_fact(paid.drop("block", "src_rank"), merged)
         return {"fct_orders": orders.select("*", self.block_of()), "fct_payments": payments.select("*", self.block_of())}
 
-    def refresh(self, customers: DataFrame) -> dict[str, int | bool]:
-        """Bring the facts up to date: blocks computed, blocks in all, and whether all had to be."""
+    def build_items(self, products: DataFrame, blocks: list[int] | None = None) -> DataFrame:
+        """The items of some blocks, or of all, with the column ``block``."""
+        merged = keep_first(self.raw("order_items", blocks), ["order_id", "order_item_id"], ["src_rank"])
+        return silver.items_fact(merged.drop("block", "src_rank"), self.raw("orders", blocks), products).select("*", self.block_of())
+
+    def refresh(self, customers: DataFrame, products: DataFrame | None = None) -> dict[str, int | bool]:
+        """Bring the facts up to date (items only with products): blocks computed, blocks in all, and whether all had to be."""
         for t in RAW:
             if not self._known(t):
                 self.append(t, self.spark.createDataFrame([], schema(t)), 2)
-        seen = customers.agg(set_digest(F.sha2("customer_id", 256))).first()[0]
+        seen = [_digest(customers, "customer_id"), _digest(products, *products.columns) if products else "none"]
         number = self.refreshes()
-        last = self.files.read_text(f"{self.root}/refreshes/{number}") if number else None
-        everything = last != seen
+        last = self.files.read_text(f"{self.root}/refreshes/{number}").split() if number else [None, None]
+        everything = last[0] != seen[0]
         blocks = None if everything else self.touched()
         if everything or blocks:
             for table, rows in self.build(customers, blocks).items():
                 self._replace(table, rows, blocks)
-        self.files.write_text(f"{self.root}/refreshes/{number + 1}", seen)
+        all_items = everything or last[1] != seen[1]
+        if products and (all_items or blocks):
+            self._replace("fct_order_items", self.build_items(products, None if all_items else blocks), None if all_items else blocks)
+        self.files.write_text(f"{self.root}/refreshes/{number + 1}", " ".join(seen))
         total = self.table("orders").select("block").union(self.table("payments").select("block")).union(self.table("order_items").select("block")).distinct().count()
         return {"blocks": total if everything else len(blocks), "of": total, "everything": everything}
 
@@ -124,9 +134,13 @@ class OrderTables:
                 self.spark.catalog.recoverPartitions(f"{self.database}.{t}")
 
 
+def _digest(df: DataFrame, *columns: str) -> str:
+    return df.agg(set_digest(F.sha2(F.to_json(F.struct(*columns)), 256))).first()[0]
+
+
 def start(tables: OrderTables, ctx: Context, stream: dict[str, DataFrame] | None = None) -> dict[str, int | bool]:
     """Load both sources of a context (``stream``: other rows for the streams) and refresh for the first time."""
     for t in RAW:
         tables.append(t, ctx(f"bronze.{t}"), 1)
         tables.append(t, (stream or {}).get(t, ctx(f"bronze.stream_{t}")), 2)
-    return tables.refresh(ctx("bronze.customers"))
+    return tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 TTL_SECONDS = 300
 #: Rows of a result that is brought to a caller, at most; marts have fewer by far.
-MOST_ROWS = 1_000_000
+MOST_ROWS = 10_000
 
 
 class TooManyRows(ValueError):

@@ -94,9 +94,13 @@ def orders_fact(merged: DataFrame, counts: DataFrame, payments: DataFrame, custo
 
 
 def fct_order_items(ctx: Context) -> DataFrame:
-    """Items of known orders and known products."""
     order_ids = ctx("bronze.orders").select("order_id").union(ctx("bronze.stream_orders").select("order_id")).distinct()
-    items = merged_items(ctx).withColumnRenamed("unit_price", "price").join(order_ids, "order_id", "left_semi").join(ctx("silver.dim_products").drop("unit_price"), "product_id")
+    return items_fact(merged_items(ctx), order_ids, ctx("silver.dim_products"))
+
+
+def items_fact(merged: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+    """Items of known orders and known products."""
+    items = merged.withColumnRenamed("unit_price", "price").join(orders.select("order_id"), "order_id", "left_semi").join(products.drop("unit_price"), "product_id")
     return items.select(
         "order_item_id", "order_id", "product_id", "product_name", "category", "brand", "quantity", money("price").alias("unit_price"), money("line_total").alias("line_total"),
         (money(F.col("quantity") * F.col("price")) != money("line_total")).alias("line_total_mismatch"),

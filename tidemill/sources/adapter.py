@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .scratch import materialised
+from .versioned import Files
 
 INPUTS = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
 
@@ -108,12 +109,17 @@ def inputs_of(sql: str) -> list[str]:
 
 #: Views that many others read; each is landed once for an application, as raw tables are, and goes with it.
 LANDED = ("b_order_items", "b_orders")
-_seen: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_seen: dict[tuple[str, str], tuple[tuple, dict[str, DataFrame]]] = {}
 
 
 def shared_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The frames of one application over one folder, shared by all its queries."""
-    return _seen.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    """The frames of one application over one folder, shared by all its queries as long as the folder's files are the same."""
+    files = Files(spark, sf_dir)
+    state = tuple(f for n in INPUTS for f in sorted(files.listing(f"{sf_dir}/{n}.parquet")))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _seen or _seen[key][0] != state:
+        _seen[key] = (state, {})
+    return _seen[key][1]
 
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
