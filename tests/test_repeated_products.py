@@ -8,7 +8,7 @@ from test_catalog import INPUTS, plain
 
 from tidemill.plans import catalog, catalog_fresh, catalog_ops  # noqa: F401
 
-NAMES = ["j07_not_exists_or"]
+NAMES = ["j07_not_exists_or", "v04_verify_gold"]
 
 
 @pytest.fixture(scope="module")
