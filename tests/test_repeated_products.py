@@ -8,7 +8,7 @@ from test_catalog import INPUTS, plain
 
 from tidemill.plans import catalog, catalog_fresh, catalog_ops  # noqa: F401
 
-NAMES = ["j07_not_exists_or", "v04_verify_gold"]
+NAMES = ["j07_not_exists_or", "v04_verify_gold", "dq_report_behind"]
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +36,9 @@ def test_query_equals_sql(spark, repeated, name):
     names = [x[0] for x in cur.description]
     order = [names.index(x) for x in sorted(names)]
     assert got == sorted(repr([plain(r[i]) for i in order]) for r in cur.fetchall())
+
+
+def test_only_checks_asked_for_are_probed(spark, repeated):
+    ctx = driver_context(spark, repeated)
+    catalog_ops.check_report(ctx, only=("manifest", "kafka_lag"))
+    assert not any(t.startswith(("silver.", "gold.")) for t in ctx.tables)
