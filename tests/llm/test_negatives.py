@@ -94,3 +94,18 @@ def test_bounds_hold_and_exclude(spark):
             assert least[a, b] <= own.min() and own.max() <= most[a, b]
         kth = np.sort(d)[10]
         assert index.n[least[a] <= kth].sum() < len(x) / 2
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Blocks, anchors and windows grow with the table, so the driver never collects one for a join, whatever its size."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written = negatives.tables.written
+    monkeypatch.setattr(negatives.tables, "written", lambda df, name: (plans.append(plan(df)), written(df, name))[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 4).tolist(), i % 3) for i in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = negatives.mine(negatives.whole_vectors(spark.createDataFrame(rows, SCHEMA), 256), 10, 5, 10, 30, 90)
+    assert found.count() > 0 and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert any("Join" in p for p in plans) and "Join" in plan(found)
+    assert not any("Broadcast" in p for p in [*plans, plan(found)])
