@@ -4,11 +4,13 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import INPUTS, plain
 
-from tidemill.plans import catalog, catalog_fresh, catalog_ops  # noqa: F401
+from tidemill.plans import catalog, catalog_fresh, catalog_ops, gold, quality, silver  # noqa: F401
+from tidemill.plans.context import TIMES, driver_context
 
-NAMES = ["j07_not_exists_or", "v04_verify_gold", "dq_report_behind"]
+NAMES = ["j07_not_exists_or", "v04_verify_gold", "v04_gold_figures", "v01_verify_silver", "v02_gmv_across_layers", "g03_revenue_by_category", "dq23_revenue_invariant", "dq_report", "dq_report_behind", "s05_fct_order_items", "u04_incremental_order_items"]
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +40,23 @@ def test_query_equals_sql(spark, repeated, name):
     assert got == sorted(repr([plain(r[i]) for i in order]) for r in cur.fetchall())
 
 
+def test_joined_rows_are_not_written(spark, repeated):
+    ctx = driver_context(spark, repeated, materialise=True)
+    items, fact = ctx.weighted("silver.fct_order_items"), ctx("silver.fct_order_items")
+    assert items.count() < fact.count() == items.agg(F.sum(TIMES)).first()[0] == silver.fct_order_items(driver_context(spark, repeated)).count()
+    assert not any("silver.fct_order_items/" in f for f in fact.inputFiles())
+    assert ctx.weighted("silver.fct_order_items") is items
+
+
 def test_only_checks_asked_for_are_probed(spark, repeated):
     ctx = driver_context(spark, repeated)
     catalog_ops.check_report(ctx, only=("manifest", "kafka_lag"))
     assert not any(t.startswith(("silver.", "gold.")) for t in ctx.tables)
+
+
+def test_items_lie_without_their_products(spark, repeated):
+    """The incremental fact keeps a row for each item, and has the joined rows when it is read."""
+    tables, _ = catalog_fresh.refreshed(spark, repeated)
+    stored = spark.read.parquet(f"{tables.root}/fct_order_items")
+    assert "product_name" not in stored.columns and stored.count() < tables.table("fct_order_items").count()
+    assert not catalog_fresh.refreshed(spark, repeated, items=False)[0]._known("fct_order_items")
