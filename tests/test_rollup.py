@@ -46,3 +46,15 @@ def test_what_is_read(both):
     assert "cube-customers" in scanned and "customer_360" not in scanned
     with pytest.raises(KeyError):
         rollup.mart(cubes, ctx, "nothing")
+
+
+def test_only_the_cube_that_a_mart_reads_is_built(both):
+    ctx, cubes = both
+    for name in set(marts.MARTS) - {"customer_sample"}:
+        own = driver_context(ctx.spark, "/root/testdata/sf0.001")
+        own.tables |= ctx.tables
+        made = rollup.build(own, rollup.cubes_of(name), keep=lambda df, _: df)
+        assert len(made.cubes) == 1 and values(rollup.mart(made, own, name)) == values(rollup.mart(cubes, ctx, name))
+    fresh = driver_context(ctx.spark, "/root/testdata/sf0.001")
+    rollup.build(fresh, rollup.cubes_of("kpi_gmv"), keep=lambda df, _: df)
+    assert not {"gold.customer_360", "gold.revenue_by_category"} & set(fresh.tables)
