@@ -1,9 +1,13 @@
 import datetime as dt
+import math
 import time
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions import padded_id
 from tidemill.sources import generator, landing
 from tidemill.sources.schemas import TABLES, column_types, schema, sql_type
 from tidemill.sources.versioned import Store
@@ -100,3 +104,40 @@ def test_manifest_and_ingest(spark, tmp_path):
     counts = landing.ingest_all(spark, f"{root}/raw", f"{root}/landing", store)
     assert counts == {t: x["rows"] for t, x in made["tables"].items()}
     assert generator.seasonal_day and made["date_range"] == [dt.date(2024, 1, 1).isoformat(), dt.date(2024, 12, 31).isoformat()]
+
+
+def test_written_tables_are_made_once(spark, tmp_path, monkeypatch):
+    """Orders, payments, refunds and tickets are made from written items and orders, with the rows that they have alone."""
+    calls = []
+    for name in ("order_items", "orders"):
+        monkeypatch.setattr(generator.Generator, name, lambda self, f=getattr(generator.Generator, name), n=name: calls.append(n) or f(self))
+    made = generator.write_dataset(spark, f"file://{tmp_path}/raw", SMALL)
+    assert calls == ["order_items", "orders"] and list(made["tables"]) == list(TABLES)
+    for t, m in made["tables"].items():
+        alone = generator.Generator(spark, SMALL).table(t)
+        assert (alone.count(), generator.table_digest(alone)) == (m["rows"], m["sha256"]), t
+
+
+def test_items_need_no_table_of_products(spark):
+    items = generator.Generator(spark, SMALL).order_items()
+    assert "Join" not in items._jdf.queryExecution().optimizedPlan().toString()
+    assert generator.Generator(spark, replace(SMALL, products=0)).order_items().count() == 0
+
+
+def test_seasonal_day_counts_ends(spark):
+    for start, end in ((dt.date(2024, 5, 5), dt.date(2024, 5, 5)), (dt.date(2023, 10, 30), dt.date(2024, 1, 2)), (dt.date(2020, 1, 1), dt.date(2023, 12, 31))):
+        days = [start + dt.timedelta(i) for i in range((end - start).days + 1)]
+        weights = [generator.MONTH_WEIGHTS.get(d.month, 1.0) for d in days]
+        sums = []
+        for w in weights:
+            sums.append((sums[-1] if sums else 0.0) + w / sum(weights))
+        us = [x for e in [1e-15, *sums[:-1], *[i / 4096 for i in range(1, 4096)]] for x in (e, math.nextafter(e, 0), math.nextafter(e, 1))]
+        day = generator.seasonal_day(F.col("u"), start, end)
+        assert "lambda" not in str(day)
+        got = dict(spark.createDataFrame([(u,) for u in us], "u double").select("u", day.alias("d")).collect())
+        assert got == {u: start + dt.timedelta(sum(e <= u for e in sums[:-1])) for u in us}
+
+
+def test_padded_id_keeps_every_digit(spark):
+    ids = spark.range(1).select(*[padded_id("C", F.lit(n), 3) for n in (7, 999, 1234567)]).first()
+    assert tuple(ids) == ("C-007", "C-999", "C-1234567")
