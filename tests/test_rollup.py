@@ -58,3 +58,10 @@ def test_only_the_cube_that_a_mart_reads_is_built(both):
     fresh = driver_context(ctx.spark, "/root/testdata/sf0.001")
     rollup.build(fresh, rollup.cubes_of("kpi_gmv"), keep=lambda df, _: df)
     assert not {"gold.customer_360", "gold.revenue_by_category"} & set(fresh.tables)
+
+
+@pytest.mark.parametrize("name", ["kpi_aov", "revenue_trend", "channel_mix"])
+def test_revenue_is_summed_without_payments_and_items(spark, sf, name):
+    cube = rollup.build(driver_context(spark, sf), rollup.cubes_of(name), keep=lambda df, _: df).cubes["revenue"]
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    assert "payment_id" not in plan and "order_item_id" not in plan and "src_rank" in plan
