@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from tidemill.plans import marts, rollup
+from tidemill.plans import gold, marts, rollup
 from tidemill.plans.context import driver_context
 
 
@@ -60,6 +60,44 @@ def test_only_the_cube_that_a_mart_reads_is_built(both):
     assert not {"gold.customer_360", "gold.revenue_by_category"} & set(fresh.tables)
 
 
+def test_customers_are_built_without_what_no_cube_reads(both, monkeypatch):
+    """The base that is written for the cube has no items, tickets or events, and one pass over the orders serves all that is told of them."""
+    written, keep = {}, gold.materialised
+    monkeypatch.setattr(gold, "materialised", lambda df, name: written.setdefault(name, df) and keep(df, name))
+    ctx, cubes = both
+    fresh = driver_context(ctx.spark, "/root/testdata/sf0.001")
+    made = rollup.build(fresh, ("customers",), keep=lambda df, _: df)
+    base = written["customer-base"]
+    assert not {"total_tickets", "total_web_events", "items_purchased", "email"} & set(base.columns)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written.values()]
+    assert not any(c in p for p in plans for c in ("event_type", "order_item_id", "payment_id", "ticket_id"))
+    assert sum("src_rank" in p for p in plans) == 1
+    assert values(made.cubes["customers"]) == values(cubes.cubes["customers"])
+
+
+def test_some_columns_of_customers(both):
+    ctx, _ = both
+    for columns in (("customer_id", "country"), ("churn_risk",), ("m_score", "aov"), ("total_tickets", "rfm_segment"), ("items_purchased", "frequency", "last_event_date")):
+        narrow = driver_context(ctx.spark, "/root/testdata/sf0.001").narrow("gold.customer_360", columns)
+        assert narrow.columns == list(columns) and values(narrow) == values(ctx("gold.customer_360").select(*columns))
+
+
+def test_given_tables_are_read_as_they_are(spark):
+    from shop import customer, order, shop
+
+    ctx = shop(spark, customers=[customer(1)], orders=[order(1, 1)])
+    ctx.tables["gold.customer_360"] = spark.createDataFrame([("C9", "low")], "customer_id string, churn_risk string")
+    assert [tuple(r) for r in ctx.narrow("gold.customer_360", ("churn_risk",)).collect()] == [("low",)]
+
+
+def test_days_without_a_date_are_no_gap(spark):
+    from shop import customer, d, order, shop
+
+    rows = [order(1, 1, "2024-01-01"), order(2, 1, "2024-01-01"), order(3, 1, "2024-01-04"), order(4, 1, "2024-01-31"), (*order(5, 1)[:2], None, *order(5, 1)[3:]), order(6, 2, "2024-02-01")]
+    found = {r["customer_id"]: r for r in gold.customer_orders(shop(spark, customers=[customer(1), customer(2)], orders=rows)).collect()}
+    assert found["C1"]["own_gap"] == 15.0 and found["C2"]["own_gap"] is None and found["C1"]["orders"] == 5 and found["C1"]["last_order_date"] == d("2024-01-31")
+
+
 @pytest.mark.parametrize("name", ["kpi_aov", "revenue_trend", "channel_mix"])
 def test_revenue_is_summed_without_payments_and_items(spark, sf, name):
     cube = rollup.build(driver_context(spark, sf), rollup.cubes_of(name), keep=lambda df, _: df).cubes["revenue"]
