@@ -60,3 +60,17 @@ def test_items_lie_without_their_products(spark, repeated):
     stored = spark.read.parquet(f"{tables.root}/fct_order_items")
     assert "product_name" not in stored.columns and stored.count() < tables.table("fct_order_items").count()
     assert not catalog_fresh.refreshed(spark, repeated, items=False)[0]._known("fct_order_items")
+
+
+def test_categories_unfold_for_ids_and_not_for_items(spark, repeated):
+    """Gross revenue is summed by product id before the categories of an id unfold."""
+    ctx = driver_context(spark, repeated)
+    narrow = ctx.narrow("gold.revenue_by_category", ("month", "category", "gross_revenue"))
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan and "Generate" not in plan
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, ctx("gold.revenue_by_category").select(*narrow.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["m10_category_mix", "rollup_m10_category_mix_filtered"])
+def test_category_mix_equals_sql(spark, repeated, name):
+    test_query_equals_sql(spark, repeated, name)
