@@ -74,3 +74,14 @@ def test_categories_unfold_for_ids_and_not_for_items(spark, repeated):
 @pytest.mark.parametrize("name", ["m10_category_mix", "rollup_m10_category_mix_filtered"])
 def test_category_mix_equals_sql(spark, repeated, name):
     test_query_equals_sql(spark, repeated, name)
+
+
+def test_gross_beyond_twelve_digits(spark):
+    """A hundred products of one id: a month's gross revenue is more than DECIMAL(14,2) holds."""
+    from shop import customer, order, shop
+
+    from tidemill.plans import marts, rollup
+
+    ctx = shop(spark, customers=[customer(1)], orders=[order(1, 1)], products=[("P1", "n", "x", "b", 1.0)] * 120, order_items=[("I1", "ORD-0000001", "P1", 1, 9e9, 9e9)])
+    for df in (marts.mart(ctx, "category_mix"), rollup.mart(rollup.build(ctx, ("categories",)), ctx, "category_mix")):
+        assert [(r["category"], int(r["gross_revenue"])) for r in df.collect()] == [("x", 1_080_000_000_000)]
