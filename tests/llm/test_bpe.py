@@ -108,3 +108,20 @@ def test_forgetting(both, monkeypatch):
     few = bpe.Encoder(both[1].v)
     text = " ".join(f"w{i}" for i in range(50)) + "long" * 40
     assert few.encode(text).tolist() == both[1].encode(text).tolist() == few.encode(text).tolist()
+
+
+def test_each_word_is_encoded_once(both, monkeypatch):
+    """Whatever stands beside it, in capitals or not; text by text."""
+    met = []
+    encode_word = bpe.Vocabulary.encode_word
+    monkeypatch.setattr(bpe.Vocabulary, "encode_word", lambda v, word: met.append(word) or encode_word(v, word))
+    few = bpe.Encoder(both[1].v)
+    for text in ("tide, (tide) Tide! TIDE; mill", "mill. \x1cmill tide?", ""):
+        assert few.encode(text).tolist() == both[0].encode(text, add_special_tokens=False).ids
+    assert len(met) == len(set(met)) and met.count("tide") == met.count("mill") == 1
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_stretches(both, monkeypatch, stretch):
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    assert all(same((both[0], bpe.Encoder(both[1].v)), t) for t in ("ΑΣ ΑΣ. \u0301a \u3000\u3099か\u3099 <|endoftext|>x y", "a\u2000\u0301 A\u030a \U0001c89b\x85 don't  stop\n\n'LL", "e" * 50 + " \u0308u\u0308 ", " ", ""))

@@ -17,8 +17,9 @@ the one further left comes first.
 The last symbol of a word differs from the same byte elsewhere (vocabularies with word
 ends), so a word is a string over 512 symbols.  Texts are normalised as such vocabularies
 ask: NFC, runs of white space as one space, lower case for each character on its own.  No
-rule looks across white space, so texts are cut there and a piece is encoded once for each
-run of a task, in a table of bounded size.
+rule looks across white space, so long texts are worked on in stretches that end there.  A
+word of a normalised stretch is encoded when a worker first meets it and then looked up, in
+a table of bounded size; one that stands beside other punctuation, or in capitals, is the same.
 
 Decoding joins the tokens' strings by spaces, as a vocabulary file without a decoder asks.
 All strings stand in one buffer, with the offset of each; texts are gathered from it.
@@ -33,6 +34,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -44,11 +46,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-#: Pieces whose tokens a task remembers, and how long these are at most.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words whose tokens a worker remembers, and how long these are at most.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Characters of a text that are cut into words at once, and on to the next white space.
+STRETCH = 1 << 20
 #: White space as vocabulary files' ``\s`` has it; Python's own notion has these four more.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ONLY_PYTHON = re.compile("[\x1c-\x1f]")
+_SPACES, _PIECES = re.compile(f"[{_SPACE}]"), re.compile(f"[^{_SPACE}]+")
 
 
 def symbols() -> dict[str, int]:
@@ -144,56 +148,76 @@ class Vocabulary:
         return good
 
     def encode_word(self, word: str) -> list[int]:
-        """Tokens of one word, given as its symbols."""
+        """Tokens of one normalised word."""
+        coded = word.encode()
+        word = coded[:-1].decode("latin-1") + chr(256 + coded[-1])
         n = len(word)
+        length, shorter, fits = self.length, self.shorter, self.fits
         longest = [-1] * n
-        length = self.length
         for end, token in self.automaton.iter(word):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[longest[start]] < length[token]:
-                longest[start] = token
-        if n and length[longest[0]] == n:
-            return [longest[0]]
+            longest[end + 1 - length[token]] = token  # of tokens with one beginning, the longest ends last
+        token = longest[0]
+        if length[token] == n:
+            return [token]
         dead = bytearray(n + 1)
         found: list[int] = []
-        at, token = 0, longest[0]
+        at, last = 0, -1
         while at < n:
-            while token >= 0 and (dead[at + length[token]] or found and not self.compatible(found[-1], token)):
-                token = self.shorter[token]
+            while token >= 0:
+                if not dead[at + length[token]]:
+                    if last < 0:
+                        break
+                    good = fits.get((last, token))
+                    if good is None:
+                        good = self.compatible(last, token)
+                    if good:
+                        break
+                token = shorter[token]
             if token >= 0:
                 found.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                last, token = token, longest[at] if at < n else -1
             else:
                 dead[at] = 1
-                last = found.pop()
-                at -= length[last]
-                token = self.shorter[last]
+                gone = found.pop()
+                at -= length[gone]
+                last, token = found[-1] if found else -1, shorter[gone]
         return found
 
-    def words(self, piece: str) -> list[bytes]:
-        """The words of a normalised piece, as bytes.
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens, normalised.
 
         Characters that Python's Unicode tables do not know yet (unassigned there) may be
-        letters with a lower case to the tokenizers library, so such a piece is normalised
-        and cut by the library's own tables.
+        letters with a lower case to the tokenizers library, so what stands between white
+        space around such a one is normalised and cut by the library's own tables.
         """
-        if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
-            if self.library is None:
-                self.library = Tokenizer.from_str(self.content)
-            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-            return [bytes(self.bytes_of[c] for c in w) for w, _ in cut]
-        # Sigma at a word's end has a form of its own only where words are lower-cased whole.
-        return [w.encode() for w in self.pattern.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Tokens of a text without white space and special tokens."""
-        found: list[int] = []
-        for coded in self.words(piece):
-            found += self.encode_word(coded[:-1].decode("latin-1") + chr(256 + coded[-1]))
+        if not _unknown(text):
+            # Sigma at a word's end has a form of its own only where words are lower-cased whole.
+            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.content)
+        found: list[str] = []
+        for piece in _PIECES.findall(text):
+            if _unknown(piece):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+                found += [bytes(self.bytes_of[c] for c in w).decode() for w, _ in cut]
+            else:
+                found += self.words(piece)
         return found
 
 
+def _unknown(text: str) -> bool:
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+def _stretches(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > STRETCH and (space := _SPACES.search(text, at + STRETCH)):
+        yield text[at : space.end()]
+        at = space.end()
+    yield text[at:] if at else text
+
+
 class OffsetTable:
     """Strings by number in one buffer, each followed by a space."""
 
@@ -217,54 +241,56 @@ class OffsetTable:
 
 
 class Encoder:
-    """Encodes whole texts, remembering the tokens of short pieces."""
+    """Encodes whole texts, remembering the tokens of short words."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, int] = {}
-        self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
-        self.used = self.filled = 0
-
-    def _add(self, tokens: list[int]) -> int:
-        code, self.used = self.used, self.used + 1
-        if code == len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * code), np.resize(self.count, 2 * code)
-        while self.filled + len(tokens) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.first[code], self.count[code] = self.filled, len(tokens)
-        self.flat[self.filled : self.filled + len(tokens)] = tokens
-        self.filled += len(tokens)
-        return code
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Places(self)
+        self.flat, self.start = array("i"), array("q", [0])
+
+    def add(self, tokens: list[int]) -> int:
+        """The place in the table where these tokens are put."""
+        self.flat.extend(tokens)
+        self.start.append(len(self.flat))
+        return len(self.start) - 2
 
     def encode(self, text: str) -> np.ndarray:
         """All tokens of one text."""
-        if self.used > REMEMBERED or self.filled > 64 * REMEMBERED:
-            self.known.clear()
-            self.used = self.filled = 0
-        pattern = self.v.special_pattern
-        pieces = [text]
-        if pattern and pattern.search(text):
-            pieces, done = [], 0
-            for m in pattern.finditer(text):
-                pieces += [text[done : m.start()], m]
-                done = m.end()
-            pieces.append(text[done:])
-        known, codes = self.known, []
-        for part in pieces:
-            if not isinstance(part, str):
-                codes.append(self._add([self.v.special[part.group()]]))
-                continue
-            for piece in re.findall(f"[^{_SPACE}]+", part) if _ONLY_PYTHON.search(part) else part.split():
-                code = known.get(piece)
-                if code is None:
-                    code = self._add(self.v.encode_piece(piece))
-                    if len(piece) <= LONGEST:
-                        known[piece] = code
-                codes.append(code)
-        codes = np.array(codes, np.int64)
-        counts = self.count[codes]
+        if len(self.start) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+            self._forget()
+        if len(self.v.fits) > REMEMBERED:
+            self.v.fits.clear()
+        pattern, places, done = self.v.special_pattern, [np.zeros(0, np.int64)], 0
+        for m in pattern.finditer(text) if pattern else ():
+            places += [*self._places(text[done : m.start()]), [self.add([self.v.special[m.group()]])]]
+            done = m.end()
+        places = np.concatenate([*places, *self._places(text[done:])])
+        flat, start = np.asarray(self.flat), np.asarray(self.start)
+        counts = start[places + 1] - start[places]
         ends = np.cumsum(counts)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[codes] - (ends - counts), counts)]
+        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[places] - (ends - counts), counts)]
+
+    def _places(self, text: str) -> Iterator[np.ndarray]:
+        """The place in the table of each word of a text without special tokens."""
+        for stretch in _stretches(text):
+            words = self.v.words(stretch)
+            yield np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+class _Places(dict[str, int]):
+    """Places in an encoder's table by word; a word that is not known is encoded, and a short one kept."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> int:
+        place = self.encoder.add(self.encoder.v.encode_word(word))
+        if len(word) <= LONGEST:
+            self[word] = place
+        return place
 
 
 @lru_cache(2)
