@@ -85,3 +85,14 @@ def test_gross_beyond_twelve_digits(spark):
     ctx = shop(spark, customers=[customer(1)], orders=[order(1, 1)], products=[("P1", "n", "x", "b", 1.0)] * 120, order_items=[("I1", "ORD-0000001", "P1", 1, 9e9, 9e9)])
     for df in (marts.mart(ctx, "category_mix"), rollup.mart(rollup.build(ctx, ("categories",)), ctx, "category_mix")):
         assert [(r["category"], int(r["gross_revenue"])) for r in df.collect()] == [("x", 1_080_000_000_000)]
+
+
+def test_join_with_products_broadcasts_none_and_keeps_its_tasks(spark):
+    """However small the files are: a join that gives many rows for each that it reads."""
+    items = spark.range(40).selectExpr("concat('I', id) AS order_item_id", "'O' AS order_id", "concat('P', id % 20) AS product_id", "1 AS quantity", "1.0 AS unit_price", "1.0 AS line_total", "false AS line_total_mismatch")
+    products = spark.range(60).selectExpr("concat('P', id % 20) AS product_id", "concat('N', id) AS product_name", "'c' AS category", "'b' AS brand", "1.0 AS unit_price")
+    fact = silver.describe_items(items, products)
+    assert fact.count() == 120
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert fact.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
