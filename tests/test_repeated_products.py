@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_catalog import INPUTS, plain
 
-from tidemill.plans import catalog, catalog_fresh, catalog_ops, gold, quality, silver  # noqa: F401
+from tidemill.plans import catalog, catalog_fresh, catalog_ops, gold, quality, silver, verify  # noqa: F401
 from tidemill.plans.context import TIMES, driver_context
 
 NAMES = ["j07_not_exists_or", "v04_verify_gold", "v04_gold_figures", "v01_verify_silver", "v02_gmv_across_layers", "g03_revenue_by_category", "dq23_revenue_invariant", "dq_report", "dq_report_behind", "s05_fct_order_items", "u04_incremental_order_items"]
@@ -87,6 +87,21 @@ def test_gross_beyond_twelve_digits(spark):
         assert [(r["category"], int(r["gross_revenue"])) for r in df.collect()] == [("x", 1_080_000_000_000)]
 
 
+@pytest.fixture
+def large_sums(spark):
+    """A hundred products of one id in a written context: more than DECIMAL(14,2) holds in one month and category."""
+    from shop import customer, order, shop
+
+    ctx = shop(spark, customers=[customer(1)], orders=[order(1, 1)], products=[("P1", "n", "x", "b", 1.0)] * 120, order_items=[("I1", "ORD-0000001", "P1", 1, 9e9, 9e9)])
+    ctx.materialise = True
+    return ctx
+
+
+def test_verify_gold_beyond_twelve_digits(large_sums):
+    found = {name: (passed, detail) for name, passed, detail in verify.gold(large_sums)}
+    assert found["gross by category"] == (True, "1080000000000.00 and 1080000000000.00")
+
+
 def test_join_with_products_broadcasts_none_and_keeps_its_tasks(spark):
     """However small the files are: a join that gives many rows for each that it reads."""
     items = spark.range(40).selectExpr("concat('I', id) AS order_item_id", "'O' AS order_id", "concat('P', id % 20) AS product_id", "1 AS quantity", "1.0 AS unit_price", "1.0 AS line_total", "false AS line_total_mismatch")
