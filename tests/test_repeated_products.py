@@ -106,6 +106,11 @@ def test_verify_serving_beyond_twelve_digits(large_sums):
     assert ("mart category_mix", True, "has rows") in verify.serving(large_sums)
 
 
+def test_checks_beyond_twelve_digits(large_sums):
+    checks = [s for s in quality.build_checks() if s.key in ("gold.revenue_by_category.not_empty", "gold.revenue_by_category.key_unique")]
+    assert [r.passed for _, r in quality.run_checks(large_sums, checks)] == [True, True]
+
+
 def test_join_with_products_broadcasts_none_and_keeps_its_tasks(spark):
     """However small the files are: a join that gives many rows for each that it reads."""
     items = spark.range(40).selectExpr("concat('I', id) AS order_item_id", "'O' AS order_id", "concat('P', id % 20) AS product_id", "1 AS quantity", "1.0 AS unit_price", "1.0 AS line_total", "false AS line_total_mismatch")
