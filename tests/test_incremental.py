@@ -132,3 +132,27 @@ def test_empty(spark, tmp_path):
     ctx = shop(spark)
     tables = incremental.OrderTables(spark, f"file://{tmp_path}/inc", "inc_empty")
     assert incremental.start(tables, ctx)["of"] == 0 and same(tables, ctx)
+
+
+def test_buckets_follow_orders(spark, sf, monkeypatch):
+    """A bucket is a task, so more orders make more buckets, with the same rows."""
+    from tidemill.plans import catalog_fresh
+    from tidemill.plans.context import driver_context
+
+    assert [incremental.buckets_for(n) for n in (0, 400_000, 400_001, 10**9)] == [4, 4, 5, incremental.MOST]
+    monkeypatch.setattr(incremental, "BUCKET_ORDERS", 200)
+    tables, _ = catalog_fresh.refreshed(spark, sf)
+    orders = driver_context(spark, sf)("bronze.orders").count()
+    assert orders > 1000 and tables.buckets == -(-orders // 200)
+    assert tables.build_items(driver_context(spark, sf)("silver.dim_products"))._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(order_id") == 0
+    assert pick(tables.table("fct_order_items").drop("block")) == pick(driver_context(spark, sf)("silver.fct_order_items"))
+
+
+def test_first_load_notes_no_blocks(spark, both):
+    """The first refresh computes every block, so blocks are not looked for before it."""
+    ctx, tables = both
+    tables.append("orders", ctx("bronze.orders"), 1)
+    assert not tables.files.exists(f"{tables.root}/changes")
+    assert tables.refresh(ctx("bronze.customers"), ctx("silver.dim_products"))["everything"]
+    tables.append("orders", ctx("bronze.orders").filter("order_id = 'ORD-0000101'"), 1)
+    assert tables.touched() == [1]
